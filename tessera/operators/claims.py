@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions import spans as S, text as T, vocabulary as V
-from tessera.functions.scalar import count_where, find_all, kilowords, let, rounded
+from tessera.functions.scalar import count_where, equals, find_all, kilowords, let, rounded
 
 CONTEXT = 50
 MENTIONS = (
@@ -52,6 +52,22 @@ def _form_matches(text: Column, rank: int, form: str, kind: str, pattern: str) -
     )
 
 
+def _take_free(matches: Column):
+    """Append the matches that neither start nor end inside one already taken."""
+
+    def step(taken: Column) -> Column:
+        def free(x: Column) -> Column:
+            return ~F.exists(
+                taken,
+                lambda y: ((y["start"] <= x["start"]) & (x["start"] < y["end"]))
+                | ((y["start"] < x["end"]) & (x["end"] <= y["end"])),
+            )
+
+        return F.concat(taken, F.filter(matches, free))
+
+    return step
+
+
 def typed_numbers(text: Column) -> Column:
     """array of number mentions in order of (priority, place).
 
@@ -60,21 +76,7 @@ def typed_numbers(text: Column) -> Column:
     form only has to look at the forms before it."""
     taken = F.array().cast(MENTIONS)
     for rank, (form, kind, pattern) in enumerate(V.TEXT_NUMBERS):
-        matches = _form_matches(text, rank, form, kind, pattern)
-        taken = let(
-            taken,
-            lambda t, m=matches: F.concat(
-                t,
-                F.filter(
-                    m,
-                    lambda x: ~F.exists(
-                        t,
-                        lambda y: ((y["start"] <= x["start"]) & (x["start"] < y["end"]))
-                        | ((y["start"] < x["end"]) & (x["end"] <= y["end"])),
-                    ),
-                ),
-            ),
-        )
+        taken = let(taken, _take_free(_form_matches(text, rank, form, kind, pattern)))
     return F.when(text.rlike(r"\d"), taken).otherwise(F.array().cast(MENTIONS))
 
 
@@ -148,21 +150,20 @@ def number_mentions(docs: DataFrame, which: str = "all_numbers") -> DataFrame:
 
 def sentence_numbers(sentence: Column) -> Column:
     """array<struct<type, value, raw>> in order of form, then place."""
-    found = []
-    for kind, pattern in V.SENTENCE_NUMBERS:
-        found.append(
-            F.transform(
-                find_all(sentence, pattern),
-                lambda raw, kind=kind, pattern=pattern: F.struct(
-                    F.lit(kind).alias("type"),
-                    F.replace(F.regexp_extract(raw, pattern, 1), F.lit(","), F.lit(""))
-                    .try_cast("double")
-                    .alias("value"),
-                    T.strip(raw).alias("raw"),
-                ),
-            )
+
+    def found(kind: str, pattern: str) -> Column:
+        return F.transform(
+            find_all(sentence, pattern),
+            lambda raw: F.struct(
+                F.lit(kind).alias("type"),
+                F.replace(F.regexp_extract(raw, pattern, 1), F.lit(","), F.lit(""))
+                .try_cast("double")
+                .alias("value"),
+                T.strip(raw).alias("raw"),
+            ),
         )
-    return F.concat(*found)
+
+    return F.concat(*[found(kind, pattern) for kind, pattern in V.SENTENCE_NUMBERS])
 
 
 def with_sentence_claims(docs: DataFrame) -> DataFrame:
@@ -333,7 +334,7 @@ def add_claim_stats(docs: DataFrame) -> DataFrame:
         *keep,
         F.size(c).cast("long").alias("total_claims"),
         *[
-            count_where(c, lambda x, f=f: x["framing"] == f).alias(n)
+            count_where(F.transform(c, lambda x: x["framing"]), equals(f)).alias(n)
             for f, n in (
                 ("hedged", "hedged_count"),
                 ("stated_as_fact", "unhedged_count"),
@@ -346,7 +347,7 @@ def add_claim_stats(docs: DataFrame) -> DataFrame:
     )
     docs = docs.select(
         *[x for x in docs.columns if x != "_kinds"],
-        *[count_where(F.col("_kinds"), lambda k, t=t: k == t).alias(f"claims_{t}") for t in NUMBER_TYPES],
+        *[count_where(F.col("_kinds"), equals(t)).alias(f"claims_{t}") for t in NUMBER_TYPES],
     )
     n = F.col("total_claims")
     return docs.select(
