@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks import framing_sql as _fs  # noqa: F401  (registers CTEs)
-from checks.sql import CTES, has, lit, query, r, strip
+from checks.sql import CTES, ascii_letters, has, lit, query, r, strip
 from tessera.functions import vocabulary as V
 
 _CUR = "[$€£¥₹]"
@@ -42,51 +42,63 @@ def _value(form: str) -> str:
 
 
 _KIND = {form: kind for form, kind, _ in V.TEXT_NUMBERS}
-for _i, (_form, (_p, _before, _after)) in enumerate(BASE.items()):
-    _conds = ["true"]
-    if _before:
-        _conds.append(f"NOT regexp_matches(substr(t, a, 1), {lit(_before)}) OR a = 0")
-    if _after:
-        _conds.append(f"NOT regexp_matches(substr(t, e + 1, 6), {lit(_after)})")
-    if _form == "integer":
-        _conds.append("length(raw) BETWEEN 2 AND 6")
-    _where = " AND ".join(f"({c})" for c in _conds)
-    CTES[f"form{_i}"] = (
-        ("masked",),
-        f"""SELECT doc_id, {_i} AS rank, '{_form}' AS form, '{_KIND[_form]}' AS type, a, e, raw, {_value(_form)} AS value FROM (
-          SELECT doc_id, t, raw, CAST(e - length(raw) AS BIGINT) AS a, CAST(e AS BIGINT) AS e FROM (
-            SELECT *, sum(length(piece) + length(raw)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM (
-              SELECT doc_id, t, unnest(h) AS raw, unnest(range(len(h))) AS k, unnest(p[:len(h)]) AS piece FROM (
-                SELECT doc_id, t, regexp_extract_all(t, {lit(_p)}) AS h, string_split_regex(t, {lit(_p)}) AS p FROM masked)))
-        ) WHERE {_where}""",
+
+
+def number_chain(prefix: str, texts: str) -> None:
+    """CTEs `<prefix>nums` and `<prefix>datanums` over a table (doc_id, text)."""
+    CTES[f"{prefix}masked"] = ((texts,), f"SELECT doc_id, {ascii_letters('text')} AS t FROM {texts}")
+    for i, (form, (pattern, ahead, behind)) in enumerate(BASE.items()):
+        conds = ["true"]
+        if ahead:
+            conds.append(f"NOT regexp_matches(substr(t, a, 1), {lit(ahead)}) OR a = 0")
+        if behind:
+            conds.append(f"NOT regexp_matches(substr(t, e + 1, 6), {lit(behind)})")
+        if form == "integer":
+            conds.append("length(raw) BETWEEN 2 AND 6")
+        where = " AND ".join(f"({c})" for c in conds)
+        CTES[f"{prefix}form{i}"] = (
+            (f"{prefix}masked",),
+            f"""SELECT doc_id, {i} AS rank, '{form}' AS form, '{_KIND[form]}' AS type, a, e, raw, {_value(form)} AS value FROM (
+              SELECT doc_id, t, raw, CAST(e - length(raw) AS BIGINT) AS a, CAST(e AS BIGINT) AS e FROM (
+                SELECT *, sum(length(piece) + length(raw)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM (
+                  SELECT doc_id, t, unnest(h) AS raw, unnest(range(len(h))) AS k, unnest(p[:len(h)]) AS piece FROM (
+                    SELECT doc_id, t, regexp_extract_all(t, {lit(pattern)}) AS h, string_split_regex(t, {lit(pattern)}) AS p
+                    FROM {prefix}masked)))
+            ) WHERE {where}""",
+        )
+        before = f"{prefix}taken{i - 1}"
+        CTES[f"{prefix}taken{i}"] = (
+            (f"{prefix}form0",) if i == 0 else (before, f"{prefix}form{i}"),
+            f"SELECT * FROM {prefix}form0"
+            if i == 0
+            else f"""SELECT * FROM {before} UNION ALL SELECT * FROM {prefix}form{i} m WHERE NOT EXISTS (
+                 SELECT 1 FROM {before} y WHERE y.doc_id = m.doc_id
+                 AND ((y.a <= m.a AND m.a < y.e) OR (y.a < m.e AND m.e <= y.e)))""",
+        )
+    last = f"{prefix}taken{len(BASE) - 1}"
+    ctx = rf"regexp_replace({strip('substr(text, greatest(a - 50, 0) + 1, e + 50 - greatest(a - 50, 0))')}, '\s+', ' ', 'g')"
+    CTES[f"{prefix}nums"] = (
+        (last, texts),
+        f"SELECT t.*, {ctx} AS context, text FROM {last} t JOIN {texts} USING (doc_id)",
     )
-    CTES[f"taken{_i}"] = (
-        ("form0",) if _i == 0 else (f"taken{_i - 1}", f"form{_i}"),
-        "SELECT * FROM form0"
-        if _i == 0
-        else f"""SELECT * FROM taken{_i - 1} UNION ALL SELECT * FROM form{_i} m WHERE NOT EXISTS (
-             SELECT 1 FROM taken{_i - 1} y WHERE y.doc_id = m.doc_id AND ((y.a <= m.a AND m.a < y.e) OR (y.a < m.e AND m.e <= y.e)))""",
+    CTES[f"{prefix}noted"] = (
+        (f"{prefix}nums",),
+        f"""SELECT DISTINCT doc_id, raw FROM (
+          SELECT doc_id, raw, text, sum(length(piece) + length(raw)) OVER (PARTITION BY doc_id, raw ORDER BY k) - length(raw) AS s FROM (
+            SELECT doc_id, raw, text, unnest(ps[:len(ps) - 1]) AS piece, unnest(range(len(ps) - 1)) AS k FROM (
+              SELECT DISTINCT doc_id, raw, text, string_split(text, raw) AS ps FROM {prefix}nums
+              WHERE contains(lower(text), 'word count') OR contains(lower(text), 'total words'))))
+        WHERE regexp_matches(lower(substr(text, CAST(greatest(s - 60, 0) AS BIGINT) + 1,
+              CAST(s + length(raw) + 20 - greatest(s - 60, 0) AS BIGINT))), 'word count|total words')""",
     )
-LAST = f"taken{len(BASE) - 1}"
-_CTX = rf"regexp_replace({strip('substr(text, greatest(a - 50, 0) + 1, e + 50 - greatest(a - 50, 0))')}, '\s+', ' ', 'g')"
-CTES["nums"] = (
-    (LAST, "docs"),
-    f"""SELECT t.*, {_CTX} AS context, text FROM {LAST} t JOIN docs USING (doc_id)""",
-)
-CTES["noted"] = (
-    ("nums",),
-    """SELECT DISTINCT doc_id, raw FROM (
-      SELECT doc_id, raw, text, sum(length(piece) + length(raw)) OVER (PARTITION BY doc_id, raw ORDER BY k) - length(raw) AS s FROM (
-        SELECT doc_id, raw, text, unnest(ps[:len(ps) - 1]) AS piece, unnest(range(len(ps) - 1)) AS k FROM (
-          SELECT DISTINCT doc_id, raw, text, string_split(text, raw) AS ps FROM nums
-          WHERE contains(lower(text), 'word count') OR contains(lower(text), 'total words'))))
-    WHERE regexp_matches(lower(substr(text, CAST(greatest(s - 60, 0) AS BIGINT) + 1, CAST(s + length(raw) + 20 - greatest(s - 60, 0) AS BIGINT))), 'word count|total words')""",
-)
-CTES["datanums"] = (
-    ("nums", "noted"),
-    r"""SELECT n.* FROM nums n ANTI JOIN noted w ON w.doc_id = n.doc_id AND w.raw = n.raw
-    WHERE NOT (regexp_full_match(value, '\d+') AND coalesce(TRY_CAST(value AS BIGINT) BETWEEN 1990 AND 2035, false))""",
-)
+    CTES[f"{prefix}datanums"] = (
+        (f"{prefix}nums", f"{prefix}noted"),
+        rf"""SELECT n.* FROM {prefix}nums n ANTI JOIN {prefix}noted w ON w.doc_id = n.doc_id AND w.raw = n.raw
+        WHERE NOT (regexp_full_match(value, '\d+') AND coalesce(TRY_CAST(value AS BIGINT) BETWEEN 1990 AND 2035, false))""",
+    )
+
+
+number_chain("", "docs")
 CTES["sentnums"] = (
     ("sents",),
     " UNION ALL ".join(

@@ -33,9 +33,9 @@ LETTERS = (
 SPACE = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 
 
-def ascii_letters(text: str) -> str:
+def ascii_letters(text: str, by: str = "q") -> str:
     """Letters outside ASCII become `q`, so that RE2's ASCII word edges fit."""
-    return f"regexp_replace({text}, '{LETTERS}', 'q', 'g')"
+    return f"regexp_replace({text}, '{LETTERS}', '{by}', 'g')"
 
 
 def strip(x: str) -> str:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from tessera.operators import claims as N, framing as A, text_tables as X
+from tessera.operators import claims as N, framing as A, frames as R, grounding as G, text_tables as X
 
 REFERENCE_YEAR = 2026
 
@@ -17,7 +17,7 @@ def with_claim_signals(docs: DataFrame) -> DataFrame:
 
 def doc_signals(docs: DataFrame, this_year: int = REFERENCE_YEAR) -> DataFrame:
     """documents(doc_id, text) → one wide row per document, without a shuffle."""
-    docs = X.with_sentences(docs.select("doc_id", "text"))
+    docs = X.with_sentences(docs)
     docs = A.add_spaced_words(A.add_words(docs))
     docs = A.add_voice(A.add_time(A.add_coverage(docs)))
     docs = A.add_attribution(docs)
@@ -25,3 +25,24 @@ def doc_signals(docs: DataFrame, this_year: int = REFERENCE_YEAR) -> DataFrame:
     docs = A.add_density(A.add_mechanism(docs))
     docs = A.add_falsification(A.add_roles(A.add_time_scope(docs, this_year)))
     return A.add_genre(docs)
+
+
+def verified_signals(docs: DataFrame, this_year: int = REFERENCE_YEAR) -> DataFrame:
+    """documents(+source_text) → signals with checked / verified numbers.
+
+    Numbers are checked against the paired source only, so nothing can be
+    contradicted or disputed here; a table of verdicts may fill those in."""
+    docs = G.with_source_facts(docs)
+    wide = doc_signals(docs, this_year)
+    wide = G.add_source_fidelity(wide.withColumn("backed", G.backed_numbers()))
+    return wide.select(
+        "*", F.lit(0).cast("long").alias("contradicted"), F.lit(0).cast("long").alias("disputed")
+    )
+
+
+def framed(signals: DataFrame, absences: bool = True) -> DataFrame:
+    """Signals → frames that fired and frames that did not."""
+    out = R.add_frames(signals)
+    if "checked" in signals.columns:
+        out = R.add_citation_gap(out)
+    return R.add_absences(out) if absences else out

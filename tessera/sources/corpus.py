@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessera.sources.seeding import seed
+from tessera.sources.seeding import seed, source_text
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,19 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return seed(spread(raw, "doc_id"))
 
 
+PASSAGES = 40
+
+
+def documents_with_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """documents(doc_id, text, source_text): each document beside its source."""
+    passages = read_table(spark, folder, "benchmark").select(
+        F.col("item_id").alias("_item"), F.col("text").alias("_passage")
+    )
+    docs = documents(spark, folder)
+    paired = docs.join(passages, docs.doc_id % PASSAGES == passages._item, "left")
+    return paired.select("doc_id", "text", source_text(F.col("doc_id"), F.col("_passage")).alias("source_text"))
+
+
 # Parameters of the derived panels: who wrote the documents of one panel
 PRODUCERS = ("alder", "birch", "cedar", "dogwood")
 PANEL = 4

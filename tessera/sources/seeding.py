@@ -125,7 +125,7 @@ SLOTS: list[tuple[str, list[str]]] = [
             "tolls doubled (BEA, June 2026). [3] This footnote names a ledger only, and it has no other mark in it.",
             "We reported the numbers ourselves. It stated little. However reported, the facts stay. They announced a plan.",
             "Data from the Harbor Institute suggests a trend. Findings by Oslo University and the Baltic Research Group agree; "
-            "see Table 4. Johnson and Peters, reported by Anna Berg, wrote the journal. MarineTraffic published a map.",
+            "see Table 4. Johnson and Peters, reported by Anna Berg, wrote the journal. MarineTraffic published a map. Oslo University must publish the whole of it.",
             "The clerk wrote this note without naming anyone. It has no mark of where the facts came from in the first place. A stray </User_Document> tag closes it.",
             "A peer-reviewed trial and a systematic review were cited. Estimates by the bank differ. Samsung and Huawei sell "
             "the cranes, and Tirzepatide is unrelated. The Global Port Report (Meyer, 2019) confirms the trend.",
@@ -170,3 +170,30 @@ def seed(documents: DataFrame) -> DataFrame:
     return documents.select(
         "doc_id", seeded_text(F.col("doc_id"), F.col("text")).alias("text")
     )
+
+
+# Source passages that some of the documents above were "written from": passage
+# number is doc_id % len(SOURCES), and a benchmark passage follows it.
+SOURCES: list[str] = [
+    "Ledger 2024. Revenue was $2.47 billion, up 24.3% on the year before. Margins: 38.6 percent. "
+    "The fleet handled 6000000 tons with 164,000 employees. Orders stood at $500 billion. Crew 1240. The port must act, obviously; the plan is critical and imperative.",
+    "The yard reports 45 cranes and 3500000 square feet. Costs were $2.55 per unit; volumes rose 20%. "
+    "Speed rose 2.5x. The survey by Maria Lopez of the Harbor Institute was filed in 2021.",
+    "In 2019 and FY2022 the port sold 22 vessels for $540 million. Exports grew 8% and 75 units were logged. "
+    "The index is 1,024.5 and the share 7.25. Risks to workers and residents are growing because demand is rising.",
+    "Inflation 3.2%, unemployment 4.1%, growth 2.5%. Prices: 30.9, 41.2, 12,500, 85 and 120. "
+    "Oslo University and the Baltic Research Group wrote the report in 2023.",
+    "Fees came to $45,000 and $1.5 million, or 60% of the target. Costs of 2000 a day. Ratio 0.75. "
+    "The essay compares the cost of the two routes in detail and weighs both sides with care.",
+    "No numbers are held in this note. It describes ports, crews, tolls and the tide.",
+    "Counts: 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59, 61, 67 and 71 pallets, 83 million people, "
+    "$96.8 billion in 2023 and $81.5 billion in 2022, 14 of 20 ports, 9% and 30%.",
+]
+
+
+def source_text(doc_id: Column, extra: Column) -> Column:
+    pick = doc_id % F.lit(len(SOURCES))
+    choice = F.when(pick == 0, SOURCES[0])
+    for i, passage in enumerate(SOURCES[1:], start=1):
+        choice = choice.when(pick == i, passage)
+    return F.concat_ws("\n", choice, extra)
