@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from tessera.functions import vocabulary as V
+from tessera.functions.scalar import let
 
 OPEN, CLOSE = "\ue000", "\ue001"
 SPANS = "array<struct<marker:string,start:int,end:int>>"
@@ -35,14 +36,15 @@ def spans(text: Column, pattern: str) -> Column:
             ).alias("spans"),
         )
 
-    return F.aggregate(
-        F.slice(pieces, F.lit(2), F.size(pieces)),
-        F.struct(
-            F.length(pieces[0]).alias("pos"), F.array().cast(SPANS).alias("spans")
-        ),
-        add,
-        lambda acc: acc["spans"],
-    )
+    def sum_up(parts: Column) -> Column:
+        return F.aggregate(
+            F.slice(parts, F.lit(2), F.size(parts)),
+            F.struct(F.length(parts[0]).alias("pos"), F.array().cast(SPANS).alias("spans")),
+            add,
+            lambda acc: acc["spans"],
+        )
+
+    return let(pieces, sum_up)
 
 
 def before(text: Column, start: Column, width: int) -> Column:

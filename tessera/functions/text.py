@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from tessera.functions import vocabulary as V
-from tessera.functions.scalar import find_all
+from tessera.functions.scalar import find_all, let
 
 CUT = "\ue000"  # private-use characters: where to cut, and a kept full stop
 STOP = "\ue001"
@@ -29,7 +29,10 @@ def strip(text: Column) -> Column:
 
 def replace_if(text: Column, needle: str, pattern: str, by: str) -> Column:
     """Replace only in texts that hold the needle at all; a scan is cheaper than a regex."""
-    return F.when(F.contains(text, F.lit(needle)), F.regexp_replace(text, pattern, by)).otherwise(text)
+    return let(
+        text,
+        lambda t: F.when(F.contains(t, F.lit(needle)), F.regexp_replace(t, pattern, by)).otherwise(t),
+    )
 
 
 def word_count(text: Column) -> Column:

@@ -438,40 +438,54 @@ def add_novelty(docs: DataFrame) -> DataFrame:
     """How much of each sentence is new to the document.  Needs `plain`.
 
     A word is new in the first sentence that holds it, with all its repeats there.
-    Sorting the distinct (word, sentence) pairs puts that sentence in front."""
+    Sorting (word, sentence, repeats) puts that sentence in front of each word's
+    run; the new words are then summed up by sentence in one pass.  Every sentence
+    adds an empty entry of its own, so that none is missing from the sums."""
     keep = list(docs.columns)
     words = F.filter(F.transform("plain", T.content_words), lambda w: F.size(w) > 0)
     docs = docs.select(*keep, words.alias("_w"))
-    pairs = F.array_sort(
-        F.array_distinct(
-            F.flatten(
-                F.transform(
-                    "_w", lambda w, i: F.transform(w, lambda x: F.struct(x.alias("x"), i.alias("i")))
-                )
-            )
+
+    def entries(w: Column, i: Column) -> Column:
+        own = F.transform(
+            F.array_distinct(w),
+            lambda x: F.struct(
+                x.alias("x"), i.alias("i"), F.size(F.filter(w, lambda y: y == x)).alias("m")
+            ),
         )
-    )
-    firsts = let(
-        pairs,
-        lambda ps: F.filter(
+        empty = F.struct(
+            F.concat(F.lit("#"), i.cast("string")).alias("x"), i.alias("i"), F.lit(0).alias("m")
+        )
+        return F.array_append(own, empty)
+
+    def first_of_run(ps: Column) -> Column:
+        return F.filter(
             ps, lambda p, k: (k == 0) | (p["x"] != F.try_element_at(ps, F.greatest(k, F.lit(1)))["x"])
-        ),
-    )
+        )
+
+    firsts = let(F.sort_array(F.flatten(F.transform("_w", entries))), first_of_run)
     docs = docs.select(*keep, "_w", firsts.alias("_firsts"))
+    by_sentence = F.sort_array(
+        F.transform("_firsts", lambda f: F.struct(f["i"].alias("i"), f["m"].alias("m")))
+    )
+    start = F.struct(
+        F.lit(0).alias("i"), F.lit(0).alias("sum"), F.array().cast("array<int>").alias("sums")
+    )
+
+    def step(acc: Column, f: Column) -> Column:
+        same = f["i"] == acc["i"]
+        return F.struct(
+            f["i"].alias("i"),
+            F.when(same, acc["sum"] + f["m"]).otherwise(f["m"]).alias("sum"),
+            F.when(same, acc["sums"]).otherwise(F.array_append(acc["sums"], acc["sum"])).alias("sums"),
+        )
+
+    sums = F.aggregate(by_sentence, start, step, lambda acc: F.array_append(acc["sums"], acc["sum"]))
     shares = let(
-        F.col("_firsts"),
-        lambda fs: F.transform(
-            F.transform(
-                "_w",
-                lambda w, i: F.struct(
-                    w.alias("w"),
-                    F.transform(F.filter(fs, lambda f: f["i"] == i), lambda f: f["x"]).alias("new"),
-                ),
-            ),
-            lambda z: F.size(F.filter(z["w"], lambda x: F.array_contains(z["new"], x))) / F.size(z["w"]),
-        ),
+        sums, lambda ss: F.transform("_w", lambda w, i: F.try_element_at(ss, i + 1) / F.size(w))
+    )
+    docs = docs.select(
+        *keep, (F.size("_firsts") - F.size("_w")).cast("long").alias("unique_words"), shares.alias("novelty")
     )
-    docs = docs.select(*keep, F.size("_firsts").cast("long").alias("unique_words"), shares.alias("novelty"))
     n = F.size("novelty")
     quarter = F.greatest(F.floor(n / 4), F.lit(1)).cast("int")
     middle = (n - 1) / F.lit(2.0)

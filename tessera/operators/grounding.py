@@ -361,7 +361,7 @@ def add_vocabulary_proximity(docs: DataFrame) -> DataFrame:
     keep = list(docs.columns)
     shares = F.filter(F.transform("facts", _overlap), lambda x: x.isNotNull())
     docs = docs.select(*keep, shares.alias("_shares"), F.size("facts").alias("_sents"))
-    ordered = F.array_sort("_shares")
+    ordered = F.sort_array("_shares")
     n = F.size("_shares")
     median = let(
         ordered,
