@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from checks import framing_sql as _fs  # noqa: F401  (registers CTEs)
 from checks.sql import CTES, ascii_letters, has, lit, query, r, strip
 from tessera.functions import vocabulary as V
@@ -99,61 +101,72 @@ def number_chain(prefix: str, texts: str) -> None:
 
 
 number_chain("", "docs")
-CTES["sentnums"] = (
-    ("sents",),
-    " UNION ALL ".join(
-        f"SELECT doc_id, sent_no, {i} AS ord, '{kind}' AS type, unnest(range(len(h))) AS k, unnest(h) AS raw0, unnest(g) AS val0 "
-        f"FROM (SELECT doc_id, sent_no, regexp_extract_all(sentence, {lit(p)}) AS h, regexp_extract_all(sentence, {lit(p)}, 1) AS g FROM sents)"
-        for i, (kind, p) in enumerate(V.SENTENCE_NUMBERS)
-    ),
-)
-CTES["sentnum"] = (
-    ("sentnums",),
-    f"SELECT doc_id, sent_no, ord, k, type, {strip('raw0')} AS raw, TRY_CAST(replace(val0, ',', '') AS DOUBLE) AS val FROM sentnums",
-)
-CTES["realclaims"] = (
-    ("sentnum", "sents"),
-    """SELECT s.doc_id, s.sent_no, sentence, heading, para_no, ns, raws FROM sents s JOIN (
-      SELECT doc_id, sent_no, count(*) AS ns, string_agg(raw, '|' ORDER BY ord, k) AS raws, bool_and(raw LIKE '000%') AS junk
-      FROM sentnum GROUP BY doc_id, sent_no) n ON n.doc_id = s.doc_id AND n.sent_no = s.sent_no WHERE NOT junk""",
-)
-CTES["bullets"] = (
-    ("datanums", "realclaims", "sentnum"),
-    rf"""SELECT * FROM (
-      SELECT *, row_number() OVER (PARTITION BY doc_id, val ORDER BY rank, a) AS nth FROM (
-        SELECT n.*, TRY_CAST(value AS DOUBLE) AS val FROM datanums n
-        WHERE NOT regexp_matches(context, '\d\s*[-–]\s*' || regexp_escape(raw))) n
-      WHERE NOT EXISTS (SELECT 1 FROM sentnum x JOIN realclaims c ON c.doc_id = x.doc_id AND c.sent_no = x.sent_no
-                        WHERE x.doc_id = n.doc_id AND x.val = n.val)) WHERE nth = 1""",
-)
-_TIGHT = (
-    "CASE WHEN instr(context, raw) = 0 THEN context ELSE "
-    + strip(
-        "substr(context, greatest(instr(context, raw) - 31, 0) + 1, instr(context, raw) - 1 + length(raw) + 30 - greatest(instr(context, raw) - 31, 0))"
+def claim_chain(prefix: str) -> None:
+    """CTEs from typed sentence numbers to claim rows, over `<prefix>sents` and `<prefix>datanums`."""
+    made: dict[str, tuple[tuple[str, ...], str]] = {}
+    made["sentnums"] = (
+        ("sents",),
+        " UNION ALL ".join(
+            f"SELECT doc_id, sent_no, {i} AS ord, '{kind}' AS type, unnest(range(len(h))) AS k, unnest(h) AS raw0, unnest(g) AS val0 "
+            f"FROM (SELECT doc_id, sent_no, regexp_extract_all(sentence, {lit(p)}) AS h, regexp_extract_all(sentence, {lit(p)}, 1) AS g FROM sents)"
+            for i, (kind, p) in enumerate(V.SENTENCE_NUMBERS)
+        ),
     )
-    + " END"
-)
-CTES["claimrows"] = (
-    ("realclaims", "bullets"),
-    f"""SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY bullet, o1, o2) - 1 AS claim_no,
-      CASE WHEN bullet THEN 'stated_as_fact' WHEN {has("sentence", V.CLAIM_HEDGE)} THEN 'hedged'
-           WHEN {has("sentence", V.PREDICTION)} THEN 'prediction' ELSE 'stated_as_fact' END AS framing,
-      NOT bullet AND {has("sentence", V.PREDICTION)} AS is_prediction,
-      NOT bullet AND NOT {has("sentence", V.CLAIM_HEDGE)} AND {has("sentence", V.CLAIM_HEDGE_HINT)} AS hinted
-    FROM (SELECT doc_id, sentence, heading, false AS bullet, raws AS numbers, sent_no AS o1, 0 AS o2 FROM realclaims
-          UNION ALL SELECT doc_id, {_TIGHT}, '', true, raw, rank, a FROM bullets)""",
-)
-CTES["claimnums"] = (
-    ("realclaims", "sentnum", "bullets"),
-    """SELECT x.doc_id, false AS bullet, x.sent_no AS o1, 0 AS o2, x.type, x.raw FROM sentnum x JOIN realclaims c ON c.doc_id = x.doc_id AND c.sent_no = x.sent_no
-       UNION ALL SELECT doc_id, true, rank, a, type, raw FROM bullets""",
-)
-CTES["highclaims"] = (
-    ("claimrows", "claimnums"),
-    f"""SELECT c.*, n.hp FROM claimrows c JOIN (
-      SELECT doc_id, bullet, o1, o2, bool_or({has("raw", V.HIGH_PRECISION)}) AS hp FROM claimnums GROUP BY ALL) n
-      ON n.doc_id = c.doc_id AND n.bullet = c.bullet AND n.o1 = c.o1 AND n.o2 = c.o2""",
-)
+    made["sentnum"] = (
+        ("sentnums",),
+        f"SELECT doc_id, sent_no, ord, k, type, {strip('raw0')} AS raw, TRY_CAST(replace(val0, ',', '') AS DOUBLE) AS val FROM sentnums",
+    )
+    made["realclaims"] = (
+        ("sentnum", "sents"),
+        """SELECT s.doc_id, s.sent_no, sentence, heading, para_no, ns, raws FROM sents s JOIN (
+          SELECT doc_id, sent_no, count(*) AS ns, string_agg(raw, '|' ORDER BY ord, k) AS raws, bool_and(raw LIKE '000%') AS junk
+          FROM sentnum GROUP BY doc_id, sent_no) n ON n.doc_id = s.doc_id AND n.sent_no = s.sent_no WHERE NOT junk""",
+    )
+    made["bullets"] = (
+        ("datanums", "realclaims", "sentnum"),
+        rf"""SELECT * FROM (
+          SELECT *, row_number() OVER (PARTITION BY doc_id, val ORDER BY rank, a) AS nth FROM (
+            SELECT n.*, TRY_CAST(value AS DOUBLE) AS val FROM datanums n
+            WHERE NOT regexp_matches(context, '\d\s*[-–]\s*' || regexp_escape(raw))) n
+          WHERE NOT EXISTS (SELECT 1 FROM sentnum x JOIN realclaims c ON c.doc_id = x.doc_id AND c.sent_no = x.sent_no
+                            WHERE x.doc_id = n.doc_id AND x.val = n.val)) WHERE nth = 1""",
+    )
+    _TIGHT = (
+        "CASE WHEN instr(context, raw) = 0 THEN context ELSE "
+        + strip(
+            "substr(context, greatest(instr(context, raw) - 31, 0) + 1, instr(context, raw) - 1 + length(raw) + 30 - greatest(instr(context, raw) - 31, 0))"
+        )
+        + " END"
+    )
+    made["claimrows"] = (
+        ("realclaims", "bullets"),
+        f"""SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY bullet, o1, o2) - 1 AS claim_no,
+          CASE WHEN bullet THEN 'stated_as_fact' WHEN {has("sentence", V.CLAIM_HEDGE)} THEN 'hedged'
+               WHEN {has("sentence", V.PREDICTION)} THEN 'prediction' ELSE 'stated_as_fact' END AS framing,
+          NOT bullet AND {has("sentence", V.PREDICTION)} AS is_prediction,
+          NOT bullet AND NOT {has("sentence", V.CLAIM_HEDGE)} AND {has("sentence", V.CLAIM_HEDGE_HINT)} AS hinted
+        FROM (SELECT doc_id, sentence, heading, false AS bullet, raws AS numbers, sent_no AS o1, 0 AS o2 FROM realclaims
+              UNION ALL SELECT doc_id, {_TIGHT}, '', true, raw, rank, a FROM bullets)""",
+    )
+    made["claimnums"] = (
+        ("realclaims", "sentnum", "bullets"),
+        """SELECT x.doc_id, false AS bullet, x.sent_no AS o1, 0 AS o2, x.type, x.raw, x.ord AS nord, x.k AS nk FROM sentnum x JOIN realclaims c ON c.doc_id = x.doc_id AND c.sent_no = x.sent_no
+           UNION ALL SELECT doc_id, true, rank, a, type, raw, 0, 0 FROM bullets""",
+    )
+    made["highclaims"] = (
+        ("claimrows", "claimnums"),
+        f"""SELECT c.*, n.hp FROM claimrows c JOIN (
+          SELECT doc_id, bullet, o1, o2, bool_or({has("raw", V.HIGH_PRECISION)}) AS hp FROM claimnums GROUP BY ALL) n
+          ON n.doc_id = c.doc_id AND n.bullet = c.bullet AND n.o1 = c.o1 AND n.o2 = c.o2""",
+    )
+    names = (*made, "sents", "datanums")
+    for name, (deps, body) in made.items():
+        for old in names:
+            body = re.sub(rf"\b(FROM|JOIN) {old}\b", rf"\1 {prefix}{old}", body)
+        CTES[prefix + name] = (tuple(prefix + d for d in deps), body)
+
+
+claim_chain("")
 _types = ("percentage", "dollar", "multiplier", "decimal", "integer")
 CTES["cstats"] = (
     ("docs", "highclaims", "claimnums", "doc_words"),

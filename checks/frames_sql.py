@@ -103,7 +103,7 @@ CTES["clus"] = (
 )
 
 
-def _pattern(i: int, name: str, t: dict, with_signals: bool = True) -> str:
+def _pattern(i: int, name: str, t: dict) -> str:
     conds = ["true"]
     if "genre" in t:
         conds.append(f"genre = '{t['genre']}'")
@@ -112,17 +112,14 @@ def _pattern(i: int, name: str, t: dict, with_signals: bool = True) -> str:
     opt = "[" + ", ".join(f"'{f}'" for f in t.get("absent_any", ())) + "]"
     if "absent_any" in t:
         conds.append(f"list_has_any(gone, {opt})")
-    if with_signals:
-        for key, col in (("falsification_max", "falsification_count"), ("sourced_pct_max", "sourced_pct"), ("role_count_max", "role_count")):
-            if key in t:
-                conds.append(f"coalesce({col} <= {t[key]}, true)")
-        for key, col in (("role_count_min", "role_count"), ("projection_min", "projection_phrases")):
-            if key in t:
-                conds.append(f"coalesce({col} >= {t[key]}, false)")
-        if "voice" in t:
-            conds.append(f"voice = '{t['voice']}'")
-    elif any(k in t for k in ("role_count_min", "projection_min", "voice")):
-        conds.append("false")
+    for key, col in (("falsification_max", "falsification_count"), ("sourced_pct_max", "sourced_pct"), ("role_count_max", "role_count")):
+        if key in t:
+            conds.append(f"coalesce({col} <= {t[key]}, true)")
+    for key, col in (("role_count_min", "role_count"), ("projection_min", "projection_phrases")):
+        if key in t:
+            conds.append(f"coalesce({col} >= {t[key]}, false)")
+    if "voice" in t:
+        conds.append(f"voice = '{t['voice']}'")
     extra = f"array_to_string(list_sort(list_intersect({opt}, gone)), ',')" if "absent_any" in t else "''"
     return (
         f"SELECT doc_id, CAST({i} AS BIGINT) AS pattern_no, '{name}' AS pattern, '{','.join(sorted(t.get('present_all', ())))}' AS frames_present, "
@@ -131,6 +128,15 @@ def _pattern(i: int, name: str, t: dict, with_signals: bool = True) -> str:
     )
 
 
+def shape(t: dict) -> str:
+    conds = ["true"]
+    conds += [f"list_contains(fired, '{f}')" for f in t.get("present_all", ())]
+    conds += [f"NOT list_contains(fired, '{f}')" for f in t.get("absent_all", ())]
+    if "absent_any" in t:
+        conds.append("(" + " OR ".join(f"NOT list_contains(fired, '{f}')" for f in t["absent_any"]) + ")")
+    return " AND ".join(conds)
+
+
 CTES["facts"] = (
     ("sig", "fr", "absent"),
     """SELECT s.*, coalesce(f.ids, []) AS fired, coalesce(a.ids, []) AS gone FROM sig s
@@ -138,10 +144,6 @@ CTES["facts"] = (
     LEFT JOIN (SELECT doc_id, list(fvs_id) AS ids FROM absent GROUP BY doc_id) a ON a.doc_id = s.doc_id""",
 )
 CTES["pats"] = (("facts",), " UNION ALL ".join(_pattern(i, n, t) for i, (n, t) in enumerate(K.PATTERNS)))
-CTES["pats_plain"] = (
-    ("facts",),
-    " UNION ALL ".join(_pattern(i, n, t, False) for i, (n, t) in enumerate(K.PATTERNS)),
-)
 CTES["vsig"] = (
     ("facts", "fidelity"),
     """SELECT *, checked >= 3 AND sourced_pct >= 30 AND coalesce(verified / checked <= 0.5, false) AS citation_gap

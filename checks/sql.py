@@ -8,6 +8,8 @@ first (same length) and the pattern is used without it.
 
 from __future__ import annotations
 
+import re
+
 from tessera.sources.seeding import SLOTS
 
 
@@ -66,12 +68,39 @@ _CUT = "chr(57344)"
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "docs": ((), f"SELECT doc_id, {seeded()} AS text FROM documents"),
     "masked": (("docs",), f"SELECT doc_id, {ascii_letters('text')} AS t FROM docs"),
-    "raw_lines": (
+    "plain": (
         ("docs",),
+        rf"""SELECT doc_id, sentence,
+               CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS BIGINT) AS sent_no
+        FROM (
+          SELECT doc_id, k, replace({strip("piece")}, chr(57345), '.') AS sentence FROM (
+            SELECT doc_id, unnest(string_split(cut, {_CUT})) AS piece,
+                   unnest(range(len(string_split(cut, {_CUT})))) AS k FROM (
+              SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+                  text, '(?m)^#{{1,6}}\s+.*$', '', 'g'), '\|[^\n]+\|', '', 'g'), '\*+', '', 'g'),
+                  '\[([^\]]+)\]\([^)]+\)', '\1', 'g'),
+                  '\b(U\.S|vs|Dr|Mr|Mrs|Ms|Jr|Sr|Inc|Ltd|Corp|etc|approx|est|i\.e|e\.g|Prof|Gen|Gov|Sen|Rep|Sgt|Rev|Vol|No|Fig|Eq|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\.',
+                  '\1' || chr(57345), 'g'),
+                  '([.!?])\s+([A-Z])', '\1' || {_CUT} || '\2', 'g') AS cut
+              FROM docs)))
+        WHERE len(regexp_extract_all(sentence, '\S+')) >= 5 AND lower(sentence) NOT LIKE '%word count%'""",
+    ),
+    "doc_words": (
+        ("docs",),
+        "SELECT doc_id, " + n_hits("text", r"[\p{L}\p{N}_]+") + " AS words FROM docs",
+    ),
+}
+
+
+def sentence_chain(prefix: str, texts: str) -> None:
+    """CTEs `<prefix>raw_lines`, `lines`, `blocks` and `sents` over a table (doc_id, text)."""
+    made = {
+    "raw_lines": (
+        ("{texts}",),
         f"""SELECT doc_id, {strip("raw")} AS line, line_no FROM (
           SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
                  CAST(unnest(range(len(string_split(text, chr(10))))) AS BIGINT) AS line_no
-          FROM docs)""",
+          FROM {texts})""",
     ),
     "lines": (
         ("raw_lines",),
@@ -107,28 +136,15 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
               FROM blocks)))
         WHERE length(sentence) > 30""",
     ),
-    "plain": (
-        ("docs",),
-        rf"""SELECT doc_id, sentence,
-               CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS BIGINT) AS sent_no
-        FROM (
-          SELECT doc_id, k, replace({strip("piece")}, chr(57345), '.') AS sentence FROM (
-            SELECT doc_id, unnest(string_split(cut, {_CUT})) AS piece,
-                   unnest(range(len(string_split(cut, {_CUT})))) AS k FROM (
-              SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-                  text, '(?m)^#{{1,6}}\s+.*$', '', 'g'), '\|[^\n]+\|', '', 'g'), '\*+', '', 'g'),
-                  '\[([^\]]+)\]\([^)]+\)', '\1', 'g'),
-                  '\b(U\.S|vs|Dr|Mr|Mrs|Ms|Jr|Sr|Inc|Ltd|Corp|etc|approx|est|i\.e|e\.g|Prof|Gen|Gov|Sen|Rep|Sgt|Rev|Vol|No|Fig|Eq|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\.',
-                  '\1' || chr(57345), 'g'),
-                  '([.!?])\s+([A-Z])', '\1' || {_CUT} || '\2', 'g') AS cut
-              FROM docs)))
-        WHERE len(regexp_extract_all(sentence, '\S+')) >= 5 AND lower(sentence) NOT LIKE '%word count%'""",
-    ),
-    "doc_words": (
-        ("docs",),
-        "SELECT doc_id, " + n_hits("text", r"[\p{L}\p{N}_]+") + " AS words FROM docs",
-    ),
-}
+    }
+    for name, (deps, body) in made.items():
+        for old in ("raw_lines", "lines", "blocks", "sents"):
+            body = re.sub(rf"\bFROM {old}\b", f"FROM {prefix}{old}", body)
+        deps = tuple(texts if x == "{texts}" else prefix + x for x in deps)
+        CTES[prefix + name] = (deps, body.replace("{texts}", texts))
+
+
+sentence_chain("", "docs")
 
 
 def query(select: str, *needs: str, **extra: str) -> str:

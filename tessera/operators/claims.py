@@ -386,3 +386,127 @@ def claim_rows(docs: DataFrame) -> DataFrame:
         .where(F.col("c").isNotNull())
         .select("doc_id", F.col("claim_no").cast("long"), "c.*")
     )
+
+
+# -- normalised values ------------------------------------------------------------
+
+
+def shown_numbers(claim: Column, first: int = 3) -> Column:
+    """The first raw numbers of a claim, cut-off suffixes tidied: `$2.47 b` → `$2.47B`."""
+
+    def tidy(raw: Column) -> Column:
+        short = F.regexp_extract(raw, r"\s+([bBmMkKtT])$", 1)
+        cut = F.regexp_extract(raw, r"\s+(bi|mi|tr)$", 1)
+        return (
+            F.when(short != "", F.concat(F.regexp_replace(raw, r"\s+[bBmMkKtT]$", ""), F.upper(short)))
+            .when(cut != "", F.concat(F.regexp_replace(raw, r"\s+(?:bi|mi|tr)$", ""), F.upper(F.substring(cut, 1, 1))))
+            .otherwise(raw)
+        )
+
+    return F.transform(F.slice(claim["numbers"], 1, first), lambda n: tidy(n["raw"]))
+
+
+def plain_number(raw: Column) -> Column:
+    """Number text without sign of currency, unit and commas; NULL if no number is left."""
+    bare = T.strip(F.replace(F.regexp_replace(F.regexp_replace(T.strip(raw), r"^[$~]", ""), r"[%xXBMK]$", ""), F.lit(","), F.lit("")))
+    return F.when(bare.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)$"), bare)
+
+
+def number_set(claims: Column) -> Column:
+    """Distinct plain numbers of all claims of a document."""
+    return F.sort_array(
+        F.array_distinct(
+            F.array_compact(
+                F.transform(F.flatten(F.transform(claims, lambda c: shown_numbers(c))), plain_number)
+            )
+        )
+    )
+
+
+MAGNITUDE = (
+    r"([-−]?)\s*(?:[$€£¥₹])?\s*([-−]?)\s*(\d[\d,]*(?:\.\d+)?)([BMKTbmkt])?"
+    r"(?:\s+(billion|million|thousand|trillion|bn|mn|tr))?\s*(%)?"
+)
+SCALE_WORDS = {
+    "billion": 1e9, "bn": 1e9, "b": 1e9, "million": 1e6, "mn": 1e6, "m": 1e6,
+    "thousand": 1e3, "k": 1e3, "trillion": 1e12, "tr": 1e12, "t": 1e12,
+}
+
+
+def stability_key(raw: Column) -> Column:
+    """Magnitude of the first number: `$2.47 billion` and `2.47B` meet in 2470000000."""
+
+    def part(i: int) -> Column:
+        return F.regexp_extract(raw, MAGNITUDE, i)
+
+    scale = F.lower(F.when(part(5) != "", part(5)).otherwise(part(4)))
+    factor = F.lit(1.0)
+    for word, f in SCALE_WORDS.items():
+        factor = F.when(scale == word, F.lit(f)).otherwise(factor)
+    sign = F.when((part(1) != "") | (part(2) != ""), F.lit(-1.0)).otherwise(F.lit(1.0))
+    value = F.replace(part(3), F.lit(","), F.lit("")).try_cast("double") * factor * sign
+    key = let(
+        value,
+        lambda v: F.when(v == F.rint(v), v.cast("long").cast("string")).otherwise(v.cast("string")),
+    )
+    return F.when(raw.rlike(r"\d"), F.concat(key, part(6)))
+
+
+def number_type(raw: Column) -> Column:
+    return (
+        F.when(F.contains(raw, F.lit("%")), "percentage")
+        .when(raw.rlike(r"[$€£¥₹]"), "dollar")
+        .when(raw.rlike(r"(?i)\d+x\b"), "multiplier")
+        .when(F.contains(raw, F.lit(".")), "decimal")
+        .otherwise("integer")
+    )
+
+
+# Scale words for base units, and words that only qualify
+QUALIFIER = (
+    r"(?i)^(?:approximately|approx\.?|roughly|about|around|nearly|over|under|more than|less than"
+    r"|up to|at least)\s+"
+)
+SENTENCE_SCALE = r"(?i)(\d+(?:[.,]\d+)?)\s+(trillion|billion|million|thousand|bn|mn|mil)\b"
+UNIT_SCALES = {
+    "t": 1e12, "trillion": 1e12, "b": 1e9, "billion": 1e9, "bn": 1e9,
+    "m": 1e6, "million": 1e6, "mn": 1e6, "mil": 1e6, "k": 1e3, "thousand": 1e3,
+}
+
+
+def _factor(word: Column) -> Column:
+    factor = F.lit(None).cast("double")
+    for w, f in UNIT_SCALES.items():
+        factor = F.when(word == w, F.lit(f)).otherwise(factor)
+    return factor
+
+
+def normal_value(raw: Column, sentence: Column) -> Column:
+    """A raw number in base units; the scale may stand at the number, or next to the
+    same number in its sentence.  0.0 if there is no number."""
+    bare = F.regexp_replace(T.strip(raw), QUALIFIER, "")
+    bare = F.replace(F.regexp_replace(F.regexp_replace(bare, r"^[$€£¥₹~]+", ""), r"%+$", ""), F.lit(","), F.lit(""))
+    suffix = F.lower(F.regexp_extract(F.regexp_replace(T.strip(raw), r"\.+$", ""), r"(?i:bn|mn)$|[TBMKk]$", 0))
+    word = F.lower(F.regexp_extract(bare, r"(?i)\b(trillion|billion|million|thousand)\b", 1))
+    number = (
+        F.when(suffix != "", F.regexp_replace(bare, r"(?:(?i:bn|mn)|[TBMKk])$", ""))
+        .when(word != "", T.strip(F.regexp_replace(bare, r"(?is)\b(?:trillion|billion|million|thousand)\b.*$", "")))
+        .otherwise(bare)
+    )
+    base = T.strip(number).try_cast("double")
+    own = F.when(suffix != "", _factor(suffix)).when(word != "", _factor(word))
+
+    def nearby(b: Column) -> Column:
+        fits = F.filter(
+            find_all(sentence, SENTENCE_SCALE),
+            lambda m: let(
+                F.replace(F.regexp_extract(m, SENTENCE_SCALE, 1), F.lit(","), F.lit("")).try_cast("double"),
+                lambda x: F.abs(x - b) < F.greatest(F.abs(x), F.lit(1.0)) * 0.01,
+            ),
+        )
+        return _factor(F.lower(F.regexp_extract(F.try_element_at(fits, F.lit(1)), SENTENCE_SCALE, 2)))
+
+    return let(
+        base,
+        lambda b: F.when(b.isNull(), F.lit(0.0)).otherwise(b * F.coalesce(own, nearby(b), F.lit(1.0))),
+    )

@@ -249,7 +249,19 @@ def cluster_rows(docs: DataFrame) -> DataFrame:
 # -- patterns ---------------------------------------------------------------------
 
 
-def pattern_test(trigger: dict, absent: Column, with_signals: bool = True) -> Column:
+def shape_test(trigger: dict) -> Column:
+    """The frame conditions of a pattern alone, against all frames that did not fire."""
+    test = F.lit(True)
+    for fvs in trigger.get("present_all", ()):
+        test = test & F.array_contains("fired", fvs)
+    for fvs in trigger.get("absent_all", ()):
+        test = test & ~F.array_contains("fired", fvs)
+    if "absent_any" in trigger:
+        test = test & F.greatest(*[~F.array_contains("fired", f) for f in trigger["absent_any"]])
+    return test
+
+
+def pattern_test(trigger: dict, absent: Column) -> Column:
     """All conditions of one pattern.  A missing signal passes `max` tests only."""
     test = F.lit(True)
     if "genre" in trigger:
@@ -260,10 +272,6 @@ def pattern_test(trigger: dict, absent: Column, with_signals: bool = True) -> Co
         test = test & F.array_contains(absent, fvs)
     if "absent_any" in trigger:
         test = test & F.arrays_overlap(absent, F.array(*[F.lit(f) for f in trigger["absent_any"]]))
-    if not with_signals:
-        if any(k in trigger for k in ("role_count_min", "projection_min", "voice")):
-            return F.lit(False)
-        return test
     for key, column in (
         ("falsification_max", "falsification_count"),
         ("sourced_pct_max", "sourced_pct"),
@@ -279,7 +287,7 @@ def pattern_test(trigger: dict, absent: Column, with_signals: bool = True) -> Co
     return test
 
 
-def add_patterns(docs: DataFrame, with_signals: bool = True, name: str = "patterns") -> DataFrame:
+def add_patterns(docs: DataFrame) -> DataFrame:
     docs = docs.select("*", F.transform("absences", lambda a: a["fvs_id"]).alias("_absent"))
     made = []
     for i, (pattern, trigger) in enumerate(K.PATTERNS):
@@ -288,7 +296,7 @@ def add_patterns(docs: DataFrame, with_signals: bool = True, name: str = "patter
         optional = [F.lit(f) for f in trigger.get("absent_any", ())]
         made.append(
             F.when(
-                pattern_test(trigger, F.col("_absent"), with_signals),
+                pattern_test(trigger, F.col("_absent")),
                 F.struct(
                     F.lit(i).cast("long").alias("pattern_no"),
                     F.lit(pattern).alias("pattern"),
@@ -302,12 +310,12 @@ def add_patterns(docs: DataFrame, with_signals: bool = True, name: str = "patter
                 ),
             )
         )
-    return docs.select("*", F.array_compact(F.array(*made)).alias(name)).drop("_absent")
+    return docs.select("*", F.array_compact(F.array(*made)).alias("patterns")).drop("_absent")
 
 
-def pattern_rows(docs: DataFrame, name: str = "patterns") -> DataFrame:
+def pattern_rows(docs: DataFrame) -> DataFrame:
     return (
-        docs.select("doc_id", F.explode_outer(name).alias("p"))
+        docs.select("doc_id", F.explode_outer("patterns").alias("p"))
         .where(F.col("p").isNotNull())
         .select("doc_id", "p.*")
     )

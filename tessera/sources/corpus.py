@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessera.sources.seeding import seed, source_text
+from tessera.sources.seeding import seed, source_text, version_texts
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -79,3 +79,16 @@ def corpus_entries(spark: SparkSession, folder: str) -> DataFrame:
         panel_slug(F.col("doc_id")).alias("slug"),
         F.floor(F.col("doc_id") / PANEL).cast("long").alias("peer_group"),
     ).withColumn("producer", producer_label(F.col("slug")))
+
+
+def versions(spark: SparkSession, folder: str) -> DataFrame:
+    """versions(group_id, version_id, text): every document written three times."""
+    ids = spread(read_table(spark, folder, "documents").select("doc_id"), "doc_id")
+    each = F.array(
+        *[
+            F.struct(F.lit(v).cast("long").alias("version_id"), text.alias("text"))
+            for v, text in enumerate(version_texts(F.col("doc_id")))
+        ]
+    )
+    rows = ids.select(F.col("doc_id").alias("group_id"), F.explode(each).alias("v"))
+    return rows.select("group_id", "v.version_id", "v.text")

@@ -28,6 +28,8 @@ SLOTS: list[tuple[str, list[str]]] = [
             "Dr. Malo met the U.S. team in Jan. Then they left for the second port of the trip.",
             "#Tight heading\nDemand depends on the season, and the outlook varies between the ports of the region.\n"
             "##   Second heading with spaces  \n\nThe rationale centers on storage, given that the depots were full. Word count 120 is noted here for the record.",
+            "## Findings of the Program\n\nThe quay was surveyed twice, and the second survey differs from the first in part.\n\n"
+            "### Heading with Main Spaces\n\n* A starred item stands for the tug that left in the night of the storm.",
         ],
     ),
     (
@@ -197,3 +199,30 @@ def source_text(doc_id: Column, extra: Column) -> Column:
     for i, passage in enumerate(SOURCES[1:], start=1):
         choice = choice.when(pick == i, passage)
     return F.concat_ws("\n", choice, extra)
+
+
+# Edits that set the later versions of a text apart from its first one: in
+# version v every (old, new) of the edit lists 1..v has been applied.
+EDITS: list[list[tuple[str, str]]] = [
+    [("24.3%", "25.1%"), ("45 cranes", "46 cranes"), ("$45,000", "$45,500"), ("8%", "9%")],
+    [("18 months", "20 months"), ("2019", "2020"), ("6 million", "7 million"), ("$1,250", "$1,950")],
+]
+VERSION_SLOTS = ("numbers", "time")
+
+
+def version_texts(doc_id: Column) -> list[Column]:
+    parts = []
+    for slot, passages in SLOTS:
+        if slot in VERSION_SLOTS:
+            pick = doc_id % F.lit(len(passages))
+            choice = F.when(pick == 0, passages[0])
+            for i, passage in enumerate(passages[1:], start=1):
+                choice = choice.when(pick == i, passage)
+            parts.append(choice)
+    text = F.concat_ws("\n\n", *parts)
+    versions = [text]
+    for edits in EDITS:
+        for old, new in edits:
+            text = F.replace(text, F.lit(old), F.lit(new))
+        versions.append(text)
+    return versions
