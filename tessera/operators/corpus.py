@@ -61,10 +61,15 @@ def co_frames(docs: DataFrame, absent: bool = False, top: int = 3) -> DataFrame:
     with partial aggregates; only (frame, frame) counts are shuffled."""
     canon = F.array(*[F.lit(f) for f in CANON])
     members = F.array_except(canon, F.col("fired")) if absent else F.col("fired")
-    sets = docs.select(members.alias("m"))
-    pairs = sets.select(F.explode("m").alias("fvs_id"), F.col("m")).select(
-        "fvs_id", F.explode("m").alias("other")
+    # every ordered pair within one document's set; the outer explode keeps the optimizer
+    # from deriving a filter that would compute the whole signal row a second time
+    ordered = F.flatten(
+        F.transform(
+            members,
+            lambda a: F.transform(members, lambda b: F.struct(a.alias("fvs_id"), b.alias("other"))),
+        )
     )
+    pairs = docs.select(F.explode_outer(ordered).alias("p")).select("p.fvs_id", "p.other")
     counts = pairs.where(F.col("fvs_id") != F.col("other")).groupBy("fvs_id", "other").agg(F.count("*").alias("n"))
     w = Window.partitionBy("fvs_id").orderBy(F.desc("n"), "other")
     return counts.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top)
@@ -120,7 +125,7 @@ def detector_empirics(docs: DataFrame) -> DataFrame:
         entries("cluster", F.transform("clusters", lambda c: c["dimension"])),
     )
     counts = (
-        docs.select(F.explode(facts).alias("f"))
+        docs.select(F.explode_outer(facts).alias("f"))
         .select("f.kind", "f.label")
         .groupBy("kind", "label")
         .agg(F.count("*").alias("n"))

@@ -92,3 +92,48 @@ def versions(spark: SparkSession, folder: str) -> DataFrame:
     )
     rows = ids.select(F.col("doc_id").alias("group_id"), F.explode(each).alias("v"))
     return rows.select("group_id", "v.version_id", "v.text")
+
+
+DIMENSION_ORDER = ("coverage", "calibration", "evidence", "robustness", "counterfactual")
+RATERS = 3
+
+
+def rating_sheets(spark: SparkSession, folder: str) -> DataFrame:
+    """One sheet per (document, rater) with a score of 1 to 5, or a gap, per dimension."""
+    labels = read_table(spark, folder, "labels")
+    rows = labels.select("*", F.explode(F.sequence(F.lit(0), F.lit(RATERS - 1))).alias("rater_id"))
+    scores = []
+    for k, dim in enumerate(DIMENSION_ORDER):
+        base = (F.col("doc_id") * 3 + F.col("rater_id") * 5 + k * 2) % 3
+        gap = (F.col("doc_id") + F.col("rater_id") * 2 + k) % 7 == 0
+        score = F.lit(1) + base + F.col("quality") + (F.lit(1) - F.col("toxic"))
+        scores.append(F.when(~gap, score).cast("long").alias(dim))
+    return rows.select("doc_id", F.col("rater_id").cast("long").alias("rater_id"), *scores)
+
+
+def llm_usage(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls made to write the documents, with token counts from their lengths."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "n_chars")
+    which = F.col("doc_id") % 5
+    return docs.select(
+        "doc_id",
+        F.when(which < 2, "alder").when(which < 4, "birch").otherwise("cedar").alias("provider"),
+        F.when(which == 0, "alder-small").when(which == 1, "alder-large").when(which == 2, "birch-one")
+        .when(which == 3, "birch-beta").otherwise("cedar-free").alias("model"),
+        (F.col("doc_id") % 10 == 9).alias("grounded"),
+        (F.floor(F.col("n_chars") / 8)).cast("long").alias("input_tokens"),
+        (F.floor(F.col("n_chars") / 4)).cast("long").alias("output_tokens"),
+    )
+
+
+PRICES = [
+    ("alder", "alder-small", 0.00015, 0.0006),
+    ("alder", "alder-large", 0.0001, 0.0004),
+    ("birch", "birch-one", 0.0002, 0.0008),
+]
+
+
+def llm_pricing(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
+        PRICES, "provider string, model string, input_per_1k double, output_per_1k double"
+    )
