@@ -64,13 +64,13 @@ def _hint(p: str, g: int) -> str:
 
 CTES["timed"] = (
     ("parts",),
-    rf"""SELECT *, CASE WHEN qy IS NOT NULL THEN qy ELSE by END AS year, CASE WHEN qy IS NOT NULL THEN qq END AS quarter,
-      CASE WHEN qy IS NOT NULL THEN CASE WHEN 2026 - qy > 5 THEN 'historical' ELSE 'quarterly' END WHEN by IS NOT NULL THEN CASE WHEN 2026 - by > 5 THEN 'historical' ELSE 'annual' END ELSE 'unknown' END AS period_type,
+    rf"""SELECT *, CASE WHEN qy IS NOT NULL THEN qy ELSE byr END AS year, CASE WHEN qy IS NOT NULL THEN qq END AS quarter,
+      CASE WHEN qy IS NOT NULL THEN CASE WHEN 2026 - qy > 5 THEN 'historical' ELSE 'quarterly' END WHEN byr IS NOT NULL THEN CASE WHEN 2026 - byr > 5 THEN 'historical' ELSE 'annual' END ELSE 'unknown' END AS period_type,
       CASE WHEN qy IS NOT NULL THEN CASE WHEN 2026 - qy > 5 THEN 'historical_old_year_quarterly' ELSE 'quarterly_q_notation' END
-           WHEN by IS NOT NULL THEN CASE WHEN 2026 - by > 5 THEN 'historical_old_year' ELSE 'annual_bare_year' END ELSE 'no_time_anchor' END AS reason,
+           WHEN byr IS NOT NULL THEN CASE WHEN 2026 - byr > 5 THEN 'historical_old_year' ELSE 'annual_bare_year' END ELSE 'no_time_anchor' END AS reason,
       TRY_CAST(coalesce(nullif(regexp_extract(time_period, '20[1-3]\d'), ''), nullif(regexp_extract(sentence, '20[1-3]\d'), '')) AS BIGINT) AS target_year,
       coalesce(TRY_CAST(regexp_extract(time_period, '(?i)Q([1-4])', 1) AS BIGINT), TRY_CAST(regexp_extract(sentence, '(?i)Q([1-4])', 1) AS BIGINT)) AS target_quarter
-    FROM (SELECT *, {_hint(T.QUARTER_YEAR, 2)} AS qy, {_hint(T.QUARTER_YEAR, 1)} AS qq, {_hint(T.BARE_YEAR, 1)} AS by FROM parts)""",
+    FROM (SELECT *, {_hint(T.QUARTER_YEAR, 2)} AS qy, {_hint(T.QUARTER_YEAR, 1)} AS qq, {_hint(T.BARE_YEAR, 1)} AS byr FROM parts)""",
 )
 CTES["routed"] = (
     ("timed",),

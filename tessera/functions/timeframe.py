@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tessera.functions.scalar import let
+
 # --------------------------------------------------------------------------
 # Forms of time
 # --------------------------------------------------------------------------
@@ -114,10 +116,12 @@ def classify_time(sentence: Column, hint: Column, this_year: int) -> Column:
         return year.between(FIRST_YEAR, LAST_YEAR)
 
     def quarter_year(t: Column) -> Column:
-        year = _group(t, QUARTER_YEAR, 2)
-        return F.when(
-            plausible(year),
-            dated("quarterly", "quarterly_q_notation", year, _group(t, QUARTER_YEAR, 1), "historical_old_year_quarterly"),
+        return let(
+            _group(t, QUARTER_YEAR, 2),
+            lambda year: F.when(
+                plausible(year),
+                dated("quarterly", "quarterly_q_notation", year, _group(t, QUARTER_YEAR, 1), "historical_old_year_quarterly"),
+            ),
         )
 
     def quarter_spelled(t: Column) -> Column:
@@ -130,7 +134,10 @@ def classify_time(sentence: Column, hint: Column, this_year: int) -> Column:
         year = F.when(plausible(own), own).when(plausible(near), near)
         return F.when(
             word != "",
-            dated("quarterly", "quarterly_spelled_out", year, number, "historical_old_year_quarterly"),
+            let(
+                year,
+                lambda y: dated("quarterly", "quarterly_spelled_out", y, number, "historical_old_year_quarterly"),
+            ),
         )
 
     def span(pattern: str, reason: str):
@@ -145,8 +152,9 @@ def classify_time(sentence: Column, hint: Column, this_year: int) -> Column:
 
     def annual(pattern: str, reason: str):
         def rule(t: Column) -> Column:
-            year = _group(t, pattern, 1)
-            return F.when(plausible(year), dated("annual", reason, year))
+            return let(
+                _group(t, pattern, 1), lambda year: F.when(plausible(year), dated("annual", reason, year))
+            )
 
         return rule
 

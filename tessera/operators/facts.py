@@ -159,7 +159,7 @@ def route_claims(claims: DataFrame, enabled: tuple[str, ...] = ("macro", "market
         ),
     )
     picked = F.slice(F.array_compact(wanted), 1, MAX_ROUTES)
-    return claims.select("*", F.posexplode(picked).alias("route_no", "provider")).withColumn(
+    return claims.select("*", F.posexplode_outer(picked).alias("route_no", "provider")).withColumn(
         "route_no", F.col("route_no").cast("long")
     )
 
