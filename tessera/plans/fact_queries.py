@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import corpus as U, facts as K
 from tessera.plans.signals import REFERENCE_YEAR
+from tessera.session import cut_lineage
 from tessera.sources import corpus as C, facts as S
 
 AS_OF = "2026-06-30"
@@ -52,7 +53,8 @@ def _resolve(s, d):
 
 def _typed(s, d):
     """Decomposed claims with the entity their heading stands for."""
-    claims = _decomposed(s, d)
+    # a table of its own: routes, evidence and verdicts all read it
+    claims = cut_lineage(_decomposed(s, d))
     country = F.col("heading").startswith("NATION_")
     return claims.select(
         "*",
@@ -65,20 +67,18 @@ def _routes(s, d):
     return K.route_claims(_typed(s, d))
 
 
-def _evidence(s, d):
-    # claims name sales and revenue alike; both are the metric `revenue`
-    return K.match_facts(_routes(s, d), S.load_facts(s, d))
+def _evidence(s, d, claims=None):
+    routes = K.route_claims(_typed(s, d) if claims is None else claims)
+    return K.match_facts(routes, S.load_facts(s, d))
 
 
 def _judged(s, d):
-    claims = _typed(s, d).select(
-        "claim_id", "heading", "sentence", "claim_type", "value", "expected"
-    )
-    return K.verdicts(claims, _evidence(s, d))
+    typed = _typed(s, d)
+    claims = typed.select("claim_id", "heading", "sentence", "claim_type", "value", "expected")
+    return K.verdicts(claims, _evidence(s, d, typed))
 
 
-def _labelled(s, d):
-    judged = _judged(s, d)
+def _labelled(judged):
     key = F.length("sentence")
     return judged.select(
         F.coalesce("best_provider", F.lit("none")).alias("provider"),
@@ -89,8 +89,14 @@ def _labelled(s, d):
     )
 
 
-def _scores(s, d):
-    return U.calibration_scores(_labelled(s, d), F.to_date(F.lit(AS_OF)))
+def _scores(s, d, judged=None):
+    judged = _judged(s, d) if judged is None else judged
+    return U.calibration_scores(_labelled(judged), F.to_date(F.lit(AS_OF)))
+
+
+def _provenance(s, d):
+    judged = cut_lineage(_judged(s, d))
+    return U.provider_provenance(judged, U.reliability_tiers(_scores(s, d, judged)))
 
 
 QUERIES = {
@@ -110,9 +116,11 @@ QUERIES = {
     "confidence_dimensions": lambda s, d: _judged(s, d).select(
         "claim_id", "authority", "precision", "context", "corroboration"
     ),
-    "derivation_check": lambda s, d: K.check_derivations(_judged(s, d)).select("claim_id", "verdict", "confidence"),
+    "derivation_check": lambda s, d: K.check_derivations(cut_lineage(_judged(s, d))).select(
+        "claim_id", "verdict", "confidence"
+    ),
     "verification_rollup": lambda s, d: K.verification_rollup(_judged(s, d)),
-    "provider_provenance": lambda s, d: U.provider_provenance(_judged(s, d), U.reliability_tiers(_scores(s, d))),
+    "provider_provenance": _provenance,
     "calibration_scores": _scores,
     "reliability_tiers": lambda s, d: U.reliability_tiers(_scores(s, d)),
 }
