@@ -283,6 +283,14 @@ SQL = {
         "SELECT doc_id, perspective, CAST(n AS BIGINT) AS count, density, CAST(dismissed AS BIGINT) AS dismissed, covered FROM cov", "cov"
     ),
     "coverage_summary": query("SELECT * FROM covsum", "covsum"),
+    "marker_hits": query(
+        r"""SELECT doc_id, perspective, lower(regexp_replace(marker, '\s+', ' ', 'g')) AS marker, a AS start, e AS "end" FROM placed""", "placed"
+    ),
+    "substantive_hits": query(
+        r"""SELECT doc_id, perspective, lower(regexp_replace(marker, '\s+', ' ', 'g')) AS marker, a AS start, e AS "end" FROM judged WHERE NOT gone""", "judged"
+    ),
+    "sourced_sentences": query("SELECT doc_id, sent_no, sourced AS is_sourced FROM sflags", "sflags"),
+    "numeric_sentences": query("SELECT doc_id, sent_no, isnum AS is_numeric FROM sflags", "sflags"),
     "markers_matched": query(
         r"""SELECT doc_id, perspective, array_to_string(ms[:20], '|') AS markers, len(ms) > 20 AS truncated FROM (
           SELECT doc_id, perspective, list_sort(list_distinct(list(lower(regexp_replace(marker, '\s+', ' ', 'g'))) FILTER (NOT gone))) AS ms

@@ -700,3 +700,42 @@ def add_genre(docs: DataFrame) -> DataFrame:
             for g in V.GENRES
         ],
     )
+
+
+# -- long tables of hits and sentence flags --------------------------------------
+
+
+def hit_rows(docs: DataFrame, substantive: bool = False) -> DataFrame:
+    """marker_hits(doc_id, perspective, marker, start, end), offsets counted from 0.
+
+    With `substantive`, played-down and denied hits of the dismissible perspectives go."""
+    text = F.col("text")
+    keep = docs.select("doc_id", "text", *[S.spans(text, p).alias(c) for c, p in V.PERSPECTIVES.items()])
+    sets = []
+    for c in CLASSES:
+        hits = F.col(c)
+        if substantive and c in V.DISMISSIBLE:
+            hits = F.filter(hits, lambda h: ~S.dismissed(F.col("text"), h))
+        sets.append(F.struct(F.lit(c).alias("perspective"), hits.alias("hits")))
+    rows = (
+        keep.select("doc_id", F.explode(F.array(*sets)).alias("s"))
+        .select("doc_id", F.col("s.perspective").alias("perspective"), F.explode_outer("s.hits").alias("h"))
+        .where(F.col("h").isNotNull())
+    )
+    return rows.select(
+        "doc_id",
+        "perspective",
+        S.normal_marker(F.col("h.marker")).alias("marker"),
+        F.col("h.start").cast("long").alias("start"),
+        F.col("h.end").cast("long").alias("end"),
+    )
+
+
+def flagged_sentences(sentences: DataFrame) -> DataFrame:
+    """sentences(+is_sourced, is_numeric)."""
+    return sentences.select(
+        "doc_id",
+        "sent_no",
+        is_sourced(F.col("sentence")).alias("is_sourced"),
+        is_numeric(F.col("sentence")).alias("is_numeric"),
+    )

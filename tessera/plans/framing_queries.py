@@ -79,6 +79,10 @@ def _claim_rows(s, d):
 QUERIES = {
     "coverage": lambda s, d: A.coverage_rows(C.documents(s, d)),
     "coverage_summary": _coverage_summary,
+    "marker_hits": lambda s, d: A.hit_rows(C.documents(s, d)),
+    "substantive_hits": lambda s, d: A.hit_rows(C.documents(s, d), substantive=True),
+    "sourced_sentences": lambda s, d: A.flagged_sentences(X.sentences(C.documents(s, d))).drop("is_numeric"),
+    "numeric_sentences": lambda s, d: A.flagged_sentences(X.sentences(C.documents(s, d))).drop("is_sourced"),
     "markers_matched": lambda s, d: A.markers_matched(C.documents(s, d)),
     "temporal_orientation": _signal(_sents, A.add_time),
     "voice": _signal(_sents, A.add_voice),
