@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, direct_codes, token_counts
+from tessera.llm import byte_bpe, direct_codes, token_counts, toxicity
 from tessera.llm.shared import shared_folder, table
 
 
@@ -19,6 +19,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/token-codes-{uuid.uuid4().hex}"
     direct_codes.write_codes(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
@@ -28,6 +32,7 @@ def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_token_counts": op6_token_counts,
+    "op8_toxicity": op8_toxicity,
     "op10_token_codes": op10_token_codes,
 }
 SQL: dict[str, str] = {}
