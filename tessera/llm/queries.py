@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, direct_codes, token_counts, toxicity
+from tessera.llm import byte_bpe, direct_codes, simhash, token_counts, toxicity
 from tessera.llm.shared import shared_folder, table
 
 
@@ -19,6 +19,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,6 +36,7 @@ def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_token_counts": op6_token_counts,
+    "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
     "op10_token_codes": op10_token_codes,
 }
