@@ -7,10 +7,14 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, direct_codes, simhash, token_counts, toxicity
+from tessera.llm import byte_bpe, byte_repeats, direct_codes, simhash, token_counts, toxicity, word_repeats
 from tessera.llm.shared import shared_folder, table
 
 
+def op1_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -27,6 +31,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/token-codes-{uuid.uuid4().hex}"
     direct_codes.write_codes(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
@@ -34,10 +42,12 @@ def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_byte_repeats": op1_byte_repeats,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
+    "op9_word_repeats": op9_word_repeats,
     "op10_token_codes": op10_token_codes,
 }
 SQL: dict[str, str] = {}
