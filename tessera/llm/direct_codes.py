@@ -86,12 +86,37 @@ class LibraryCoder:
 
         self.library = Tokenizer.from_str(content.decode())
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values() if x.special]
+        letters = self.library.get_vocab(with_added_tokens=False)
+        self.width = np.zeros(max(letters.values()) + 1, np.int64)
+        self.width[list(letters.values())] = [len(x) for x in letters]
         self.coder = PieceCoder(self._encode)
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((y for x in found for y in x), np.int32, int(size.sum())), size
+        """Ids of the pieces, flat, and how many each has.
+
+        Pieces of a blank and then no white space are cut apart again wherever they stand behind
+        one another, so the library is given many of them as one text; the rest go one by one.
+        """
+        joint = np.fromiter((x[0] == " " and len(x) > 1 and not x[1].isspace() for x in pieces), bool, len(pieces))
+        size = np.zeros(len(pieces), np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        where = np.flatnonzero(joint)
+        blocks = [where[x : x + 500] for x in range(0, len(where), 500)]
+        for block, found in zip(blocks, self.library.encode_batch_fast(["".join(pieces[x] for x in b) for b in blocks], add_special_tokens=False)):
+            ids = np.array(found.ids, np.int32)
+            ends = np.cumsum([len(pieces[x].encode()) for x in block])
+            last = np.searchsorted(np.cumsum(self.width[ids]), ends)
+            size[block] = np.diff(np.append(-1, last))
+            parts.append((block, ids))
+        rest = np.flatnonzero(~joint)
+        for place, found in zip(rest, self.library.encode_batch_fast([pieces[x] for x in rest], add_special_tokens=False)):
+            size[place] = len(found.ids)
+            parts.append((np.array([place]), np.array(found.ids, np.int32)))
+        flat = np.empty(int(size.sum()), np.int32)
+        begin = np.cumsum(size) - size
+        for block, ids in parts:
+            flat[np.repeat(begin[block] - (np.cumsum(size[block]) - size[block]), size[block]) + np.arange(len(ids))] = ids
+        return flat, size
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         held = [any(x in text for x in self.special) for text in texts]
