@@ -39,14 +39,15 @@ def byte_ends(body: bytes) -> tuple[np.ndarray, np.ndarray]:
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of `text` in the order of their first `depth` symbols at least, by doubling."""
     n = len(text)
-    packed = np.zeros(n + 8, np.uint64)
+    bits = max(1, int(text.max()).bit_length())
+    known = max(1, 63 // bits)
+    packed = np.zeros(n + known, np.uint64)
     packed[:n] = text
     code = np.zeros(n, np.uint64)
-    for k in range(4):
-        code = (code << np.uint64(16)) | packed[k : n + k]
+    for k in range(known):
+        code = (code << np.uint64(bits)) | packed[k : n + k]
     order = np.argsort(code, kind="stable")
     rank = np.zeros(n, np.int64)
-    known = 4
     sorted_ = code[order]
     while True:
         new = np.cumsum(np.append(True, sorted_[1:] != sorted_[:-1]))

@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, byte_repeats, direct_codes, simhash, token_counts, toxicity, word_repeats
+from tessera.llm import byte_bpe, byte_repeats, decontaminate, direct_codes, line_dedup, simhash, token_counts, toxicity, word_repeats
 from tessera.llm.shared import shared_folder, table
 
 
@@ -15,6 +15,14 @@ def op1_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_repeats.digests(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -43,6 +51,8 @@ def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_repeats": op1_byte_repeats,
+    "op2_line_dedup": op2_line_dedup,
+    "op4_decontaminate": op4_decontaminate,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
@@ -50,4 +60,4 @@ QUERIES = {
     "op9_word_repeats": op9_word_repeats,
     "op10_token_codes": op10_token_codes,
 }
-SQL: dict[str, str] = {}
+SQL = {"op2_line_dedup": line_dedup.SQL}

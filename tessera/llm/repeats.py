@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import NO_ID, settle
@@ -35,12 +35,15 @@ RUNS = "anchor long, seg long, _id long, _h int, start int, n int"
 WINDOWS = "_id long, _h int, start int, stop int"
 
 
+def key_columns(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
+    """_id and _h, which name a row by what it holds."""
+    body = F.coalesce(docs[text], F.lit(""))
+    return [F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID)).alias("_id"), F.shiftright(F.xxhash64(body), 32).cast("int").alias("_h")]
+
+
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """_id, _h and _text."""
-    body = F.coalesce(docs[text], F.lit(""))
-    return docs.select(
-        F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID)).alias("_id"), F.shiftright(F.xxhash64(body), 32).cast("int").alias("_h"), body.alias("_text")
-    )
+    return docs.select(*key_columns(docs, doc_id, text), F.coalesce(docs[text], F.lit("")).alias("_text"))
 
 
 def _batch(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
