@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, byte_repeats, decontaminate, direct_codes, line_dedup, simhash, token_counts, toxicity, word_repeats
+from tessera.llm import byte_bpe, byte_repeats, decontaminate, direct_codes, line_dedup, search, simhash, token_counts, toxicity, word_repeats
 from tessera.llm.shared import shared_folder, table
 
 
@@ -19,6 +19,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 50 is a query against all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.where("doc_id % 50 = 0"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -52,6 +58,7 @@ def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_byte_repeats": op1_byte_repeats,
     "op2_line_dedup": op2_line_dedup,
+    "op3_search": op3_search,
     "op4_decontaminate": op4_decontaminate,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_token_counts": op6_token_counts,
@@ -60,4 +67,4 @@ QUERIES = {
     "op9_word_repeats": op9_word_repeats,
     "op10_token_codes": op10_token_codes,
 }
-SQL = {"op2_line_dedup": line_dedup.SQL}
+SQL = {"op2_line_dedup": line_dedup.SQL, "op3_search": search.SQL}
