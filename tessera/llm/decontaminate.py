@@ -94,13 +94,15 @@ class WaveletMatrix:
 
 
 class FmIndex:
-    """Backward search and location in a sequence of numbers below 1 << bits."""
+    """Backward search and location in a sequence of numbers from 0 on."""
 
-    def __init__(self, sequence: np.ndarray, bits: int):
+    def __init__(self, sequence: np.ndarray):
+        # Numbers move up by one, so that the end has a symbol of its own that is less than all.
+        sequence = np.append(sequence + 1, 0)
         order = suffix_array(sequence, len(sequence))
         self.size = len(sequence)
-        self.matrix = WaveletMatrix(sequence[order - 1], bits)
-        self.smaller = np.concatenate([[0], np.cumsum(np.bincount(sequence, minlength=1 << bits))])
+        self.matrix = WaveletMatrix(sequence[order - 1], int(sequence.max()).bit_length())
+        self.smaller = np.concatenate([[0], np.cumsum(np.bincount(sequence))])
         sampled = order % SAMPLE == 0
         self.sampled, self.positions = Ranks(sampled), order[sampled]
 
@@ -113,8 +115,9 @@ class FmIndex:
         live = np.arange(len(patterns))
         for column in range(patterns.shape[1] - 1, -1, -1):
             symbol = patterns[live, column]
-            on = live[symbol >= 0]
-            symbol = symbol[symbol >= 0]
+            known = (symbol >= 0) & (symbol + 2 < len(self.smaller))
+            low[live[symbol + 2 >= len(self.smaller)]] = self.size
+            on, symbol = live[known], symbol[known] + 1
             low[on], high[on] = self.back(symbol, low[on]), self.back(symbol, high[on])
             live = live[low[live] < high[live]]
         return low, np.maximum(low, high)
@@ -143,7 +146,6 @@ class Passages:
                 window = tuple(ids[k : k + WINDOW])
                 if window and item not in windows.setdefault(window, [])[-1:]:
                     windows[window].append(item)
-        self.bits = max(1, len(self.number).bit_length())
         self.length = np.array([len(x) for x in windows], np.int64)
         self.windows = np.full((len(windows), WINDOW), -1, np.int64)
         for row, window in zip(self.windows, windows):
@@ -198,9 +200,7 @@ class Shard:
         none = np.empty(0, np.int64)
         if not self.size or not len(passages.windows):
             return none, none, none, none
-        # The last symbol is a separator, so no window runs over the end of the sequence.
-        symbol = np.append(np.concatenate(self.symbols), 0)
-        index = FmIndex(symbol, passages.bits)
+        index = FmIndex(np.concatenate(self.symbols))
         low, high = index.search(passages.windows)
         count = high - low
         ends = np.cumsum(count)

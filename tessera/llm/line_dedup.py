@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql import functions as F
 
-from tessera.llm.repeats import KEY, Group, covered, key_columns, keyed, repeated_windows, with_windows
+from tessera.llm.repeats import Group, covered, key_columns, keyed, repeated_windows, with_windows
 from tessera.llm.winnow import Cut, mixed
 
 RUN = 2
@@ -69,7 +69,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """All columns of docs, with the lines left in `text`, and _n_lines and _n_removed beside."""
     rows = keyed(docs, doc_id, text)
     windows = repeated_windows(rows, line_cut, RUN, 1, later_runs, line_ends, later=True)
-    whole = with_windows(docs.select("*", *key_columns(docs, doc_id, text)), windows).drop(*KEY)
+    whole = with_windows(docs.select(F.struct("*").alias("_row"), *key_columns(docs, doc_id, text)), windows).select("_row", "_windows")
     schema = T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_removed", T.LongType())])
     place = docs.columns.index(text)
 
@@ -77,18 +77,17 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, count, removed = [], [], []
-            for body, found in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+            columns, kept, count, removed = batch.column(0).flatten(), [], [], []
+            for body, found in zip(columns[place].to_pylist(), batch.column(1).to_pylist()):
                 lines, places = counted_lines(body or "")
                 gone = {places[k] for start, stop in covered(found, RUN) for k in range(start, stop)}
                 kept.append(body if body is None or not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone))
                 count.append(len(places))
                 removed.append(len(gone))
-            columns = batch.columns[:-1]
             columns[place] = pa.array(kept, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64()), pa.array(removed, pa.int64())], names=names)
 
-    return whole.select(*docs.columns, "_windows").mapInArrow(run, schema)
+    return whole.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of docs, as it is, for each component: that of least doc_id, then of least hash of its text."""
     _, first = labelled(docs, doc_id, text)
-    kept = first.select("first").distinct().select(F.struct(F.coalesce("first.doc_id", F.lit(NO_ID)).alias("id"), F.col("first.h").alias("h")).alias("_row"))
+    kept = first.select("first").distinct().select(F.struct(F.coalesce(F.col("first.doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("first.h").alias("h")).alias("key"))
     own = F.struct(F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("h"))
-    rows = docs.withColumn("_row", own).join(kept, "_row", "left_semi")
-    return rows.dropDuplicates(["_row"]).drop("_row")
+    rows = docs.select(F.struct("*").alias("row"), own.alias("key")).join(kept, "key", "left_semi")
+    return rows.dropDuplicates(["key"]).select("row.*")
