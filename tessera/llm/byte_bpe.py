@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, types as T
 
 from tessera.llm.pairs_table import NONE, PairTable
 from tessera.llm.pieces import PieceCoder, gather, text_groups
+from tessera.llm.shared import in_small_batches
 
 LONG = 256
 
@@ -189,7 +190,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", t
                 )
                 at += len(group)
 
-    return docs.select(docs[doc_id], docs[text]).mapInArrow(run, schema)
+    return in_small_batches(docs).select(docs[doc_id], docs[text]).mapInArrow(run, schema)
 
 
 def encode_digests(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

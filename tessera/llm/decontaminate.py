@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 from tessera.llm.byte_repeats import suffix_array
+from tessera.llm.shared import in_small_batches
 
 WINDOW, SAMPLE = 10, 8
 BLOCK_CHARS = 8_000_000
@@ -247,7 +248,7 @@ def search(texts: list[str], blocks: Iterator[Passages]) -> tuple[list[int], lis
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str) -> list:
     """The passages as broadcast blocks of bounded size."""
-    context = benchmark.sparkSession.sparkContext
+    context = in_small_batches(benchmark).sparkSession.sparkContext
     rows = benchmark.selectExpr(f"coalesce(cast({item_id} AS string), '') AS name", f"coalesce({text}, '') AS body")
     found, items, size = [], [], 0
     for row in rows.toLocalIterator():

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.byte_bpe import read_fixed
 from tessera.llm.pieces import PieceCoder, text_groups
+from tessera.llm.shared import in_small_batches
 
 SHARD_IDS = 1 << 20
 CODES = "part int, seq int, n_ids long, doc_ids binary, doc_begin binary, has_id binary, codes array<binary>, marks array<binary>, ranks array<binary>"
@@ -132,7 +133,7 @@ _LOADED: dict[int, LibraryCoder] = {}
 def write_codes(docs: DataFrame, vocabulary_path: str, path: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> None:
     """Write the ids of all documents, each with end_id after it, in ascending order of doc_id."""
     content = docs.sparkSession.sparkContext.broadcast(read_fixed(vocabulary_path))
-    rows = docs.select(docs[doc_id].cast("long").alias("_id"), F.coalesce(docs[text], F.lit("")).alias("_text"))
+    rows = in_small_batches(docs).select(docs[doc_id].cast("long").alias("_id"), F.coalesce(docs[text], F.lit("")).alias("_text"))
     rows = rows.repartitionByRange("_id").sortWithinPartitions("_id", F.xxhash64("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

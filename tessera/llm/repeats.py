@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import NO_ID, settle
+from tessera.llm.shared import NO_ID, in_small_batches, settle
 from tessera.llm.winnow import Cut
 
 #: Different runs that one anchor may have before its windows are counted one by one.
@@ -43,7 +43,7 @@ def key_columns(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """_id, _h and _text."""
-    return docs.select(*key_columns(docs, doc_id, text), F.coalesce(docs[text], F.lit("")).alias("_text"))
+    return in_small_batches(docs).select(*key_columns(docs, doc_id, text), F.coalesce(docs[text], F.lit("")).alias("_text"))
 
 
 def _batch(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:

@@ -5,8 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: The key given to rows without a doc_id, so that joins find them again.
 NO_ID = -(2**63)
@@ -36,13 +35,11 @@ def settle(df: DataFrame, *partition: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
-    """Two columns that name a row by its content: retries give the same key, repeated rows share it."""
-    return [
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_id"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_h"),
-    ]
+#: Bytes of texts that are handed to Python at once; both sides hold a batch several times over.
+BATCH_BYTES = 4 << 20
 
 
-def shuffle_width(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same table; from now on its session hands rows to Python in batches of BATCH_BYTES at most."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df

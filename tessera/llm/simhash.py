@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, types as T
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import NO_ID, settle
+from tessera.llm.shared import NO_ID, in_small_batches, settle
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints that one prefix may have before it is dealt anew, and bits added then.
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             found = np.array([fingerprint(x) for x in batch.column(2).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "h", "fp"])
 
-    return docs.select(docs[doc_id], F.xxhash64(F.coalesce(docs[text], F.lit(""))), docs[text]).mapInArrow(run, schema)
+    return in_small_batches(docs).select(docs[doc_id], F.xxhash64(F.coalesce(docs[text], F.lit(""))), docs[text]).mapInArrow(run, schema)
 
 
 @cache

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, types as T
 from tessera.llm.byte_bpe import read_fixed
 from tessera.llm.pairs_table import NONE, PairTable
 from tessera.llm.pieces import PieceCoder, text_groups
+from tessera.llm.shared import in_small_batches
 
 
 def byte_letters() -> dict[int, str]:
@@ -130,4 +131,4 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 512, doc_id
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select(docs[doc_id], docs[text]).mapInArrow(run, schema)
+    return in_small_batches(docs).select(docs[doc_id], docs[text]).mapInArrow(run, schema)

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import in_small_batches
+
 BITS = 18
 ORDERS = (4, 5)
 #: Bounds of the training sample, in rows and in characters.
@@ -162,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, doc
     known = max(1, may.count())
     top = min(1.0, SAMPLE_ROWS / known)
     chosen = may.where(F.col("_order") <= F.lit(int(-(2**63) + top * (2**64 - 1)))) if top < 1 else may
-    rows = docs.select(docs[doc_id].alias("_id"), docs[text].alias("_text")).join(F.broadcast(chosen), "_id")
+    rows = in_small_batches(docs).select(docs[doc_id].alias("_id"), docs[text].alias("_text")).join(F.broadcast(chosen), "_id")
     rows = rows.select("_order", F.coalesce("_text", F.lit("")).alias("_text"), "_toxic").repartition(1).sortWithinPartitions("_order", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
