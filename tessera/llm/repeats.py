@@ -186,12 +186,14 @@ def repeated_windows(
     `rows` has _id, _h and _text. `resolve` finds such windows among the runs of some anchors.
     """
     runs = all_runs(rows, cut, length, gram)
-    shared = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    # Written first, so that the join has plain shuffles on both sides and Spark can split a hot anchor.
+    shared = settle(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"))
     known = settle(runs.join(shared, "anchor"))
     place = F.struct("_id", "_h", "start")
     # Equal rows of the input have equal places; they are one place here.
     sorts = settle(known.groupBy("anchor", "seg").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("n").alias("n")))
-    known_often = known.join(sorts.where("first <> last").select("anchor", "seg", "first"), ["anchor", "seg"])
+    often = sorts.where("first <> last").select("anchor", "seg", "first")
+    known_often = known.join(often, ["anchor", "seg"])
     if later:
         known_often = known_often.where(place != F.col("first"))
     whole = known_often.selectExpr("_id", "_h", "start", "start + n AS stop")
@@ -203,7 +205,7 @@ def repeated_windows(
     calm = calm.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_resolve(resolve), WINDOWS)
 
     hot = fetched.where("hot").select("_id", "_h", "start", "n", "body").mapInArrow(_windows_alone(length, unit_ends), "w1 long, w2 long, _id long, _h int, start int")
-    ends = hot.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    ends = settle(hot.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last"))
     again = hot.join(ends, ["w1", "w2"])
     if later:
         again = again.where(place != F.col("first"))
