@@ -29,6 +29,7 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "16g")
+        .config("tessera.text.partitions", str(2 * int(cpus)))
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

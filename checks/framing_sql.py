@@ -292,7 +292,7 @@ SQL = {
     "sourced_sentences": query("SELECT doc_id, sent_no, sourced AS is_sourced FROM sflags", "sflags"),
     "numeric_sentences": query("SELECT doc_id, sent_no, isnum AS is_numeric FROM sflags", "sflags"),
     "markers_matched": query(
-        r"""SELECT doc_id, perspective, array_to_string(ms[:20], '|') AS markers, len(ms) > 20 AS truncated FROM (
+        r"""SELECT doc_id, perspective, coalesce(array_to_string(ms, '|'), '') AS markers, CAST(coalesce(len(ms), 0) AS BIGINT) AS n_markers FROM (
           SELECT doc_id, perspective, list_sort(list_distinct(list(lower(regexp_replace(marker, '\s+', ' ', 'g'))) FILTER (NOT gone))) AS ms
           FROM judged GROUP BY doc_id, perspective)
         UNION ALL SELECT d.doc_id, p.perspective, '', false FROM docs d
@@ -300,7 +300,7 @@ SQL = {
           ANTI JOIN judged j ON j.doc_id = d.doc_id AND j.perspective = p.perspective""",
         "judged",
         "docs",
-    ).replace("array_to_string(ms[:20], '|')", "coalesce(array_to_string(ms[:20], '|'), '')").replace("len(ms) > 20", "coalesce(len(ms), 0) > 20"),
+    ),
     "temporal_orientation": query(
         """SELECT doc_id, past_pct, present_pct, future_pct,
           CASE WHEN present >= past AND present >= future THEN 'present' WHEN past >= future THEN 'past' ELSE 'future' END AS dominant,

@@ -13,7 +13,7 @@ _whens = " ".join(f"WHEN {i} THEN {lit(p)}" for i, p in enumerate(SOURCES))
 CTES["srcs"] = (
     (),
     f"""SELECT doc_id, CASE doc_id % {len(SOURCES)} {_whens} END || chr(10) || b.text AS text
-    FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % 40""",
+    FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)""",
 )
 number_chain("s_", "srcs")
 CTES["sfloat"] = (

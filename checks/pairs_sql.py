@@ -35,14 +35,13 @@ claim_chain("v_")
 
 
 def shown(prefix: str) -> str:
-    """(doc_id, claim_no, sentence, number_no, raw): the first three numbers of each claim, tidied."""
+    """(doc_id, claim_no, sentence, number_no, raw): the numbers of each claim, tidied."""
     return rf"""SELECT doc_id, claim_no, sentence, number_no, CASE
         WHEN regexp_matches(raw, '\s+[bBmMkKtT]$') THEN regexp_replace(raw, '\s+[bBmMkKtT]$', '') || upper(regexp_extract(raw, '\s+([bBmMkKtT])$', 1))
         WHEN regexp_matches(raw, '\s+(?:bi|mi|tr)$') THEN regexp_replace(raw, '\s+(?:bi|mi|tr)$', '') || upper(substr(regexp_extract(raw, '\s+(bi|mi|tr)$', 1), 1, 1))
         ELSE raw END AS raw FROM (
       SELECT c.doc_id, c.claim_no, c.sentence, n.raw, row_number() OVER (PARTITION BY c.doc_id, c.claim_no ORDER BY n.nord, n.nk) - 1 AS number_no
-      FROM {prefix}claimrows c JOIN {prefix}claimnums n ON n.doc_id = c.doc_id AND n.bullet = c.bullet AND n.o1 = c.o1 AND n.o2 = c.o2)
-    WHERE number_no < 3"""
+      FROM {prefix}claimrows c JOIN {prefix}claimnums n ON n.doc_id = c.doc_id AND n.bullet = c.bullet AND n.o1 = c.o1 AND n.o2 = c.o2)"""
 
 
 CTES["shown"] = (("claimrows", "claimnums"), shown(""))

@@ -15,6 +15,38 @@ def normal_marker(marker: Column) -> Column:
     return F.regexp_replace(F.lower(marker), r"\s+", " ")
 
 
+#: Items of a block in running sums; a list that grows is copied at each step, so none grows longer.
+BLOCK = 128
+
+
+def running_sums(values: Column) -> Column:
+    """The sum of all values before each one and, last, of all; in time that grows with their number."""
+    nothing = F.array().cast("array<int>")
+
+    def scan(items: Column) -> Column:
+        start = F.struct(F.lit(0).alias("sum"), nothing.alias("before"))
+        return F.aggregate(
+            items,
+            start,
+            lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.array_append(acc["before"], acc["sum"]).alias("before")),
+        )
+
+    def over_blocks(blocks: Column) -> Column:
+        def shift(offsets: Column) -> Column:
+            inner = F.transform(
+                blocks, lambda b, k: F.transform(b["before"], lambda x: x + F.element_at(offsets["before"], k + 1))
+            )
+            return F.array_append(F.flatten(inner), offsets["sum"])
+
+        return let(scan(F.transform(blocks, lambda b: b["sum"])), shift)
+
+    def cut(all_: Column) -> Column:
+        begins = F.when(F.size(all_) > 0, F.sequence(F.lit(0), F.size(all_) - 1, F.lit(BLOCK))).otherwise(nothing)
+        return let(F.transform(begins, lambda i: scan(F.slice(all_, i + 1, F.lit(BLOCK)))), over_blocks)
+
+    return let(values, cut)
+
+
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<marker, start, end>> of all hits, offsets counted from 0.
 
@@ -22,29 +54,20 @@ def spans(text: Column, pattern: str) -> Column:
     lengths of the pieces are summed up."""
     pieces = F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"), OPEN)
 
-    def add(acc: Column, piece: Column) -> Column:
-        hit = F.substring_index(piece, CLOSE, 1)
-        return F.struct(
-            (acc["pos"] + F.length(piece) - 1).alias("pos"),
-            F.array_append(
-                acc["spans"],
-                F.struct(
-                    hit.alias("marker"),
-                    acc["pos"].alias("start"),
-                    (acc["pos"] + F.length(hit)).alias("end"),
-                ),
-            ).alias("spans"),
-        )
+    def with_starts(parts: Column) -> Column:
+        lengths = F.transform(parts, lambda piece, k: F.length(piece) - F.when(k == 0, F.lit(0)).otherwise(F.lit(1)))
 
-    def sum_up(parts: Column) -> Column:
-        return F.aggregate(
-            F.slice(parts, F.lit(2), F.size(parts)),
-            F.struct(F.length(parts[0]).alias("pos"), F.array().cast(SPANS).alias("spans")),
-            add,
-            lambda acc: acc["spans"],
-        )
+        def marked(starts: Column) -> Column:
+            def hit(piece: Column, k: Column) -> Column:
+                marker = F.substring_index(piece, CLOSE, 1)
+                start = F.element_at(starts, k + 2)
+                return F.struct(marker.alias("marker"), start.alias("start"), (start + F.length(marker)).alias("end"))
+
+            return F.transform(F.slice(parts, F.lit(2), F.size(parts)), hit)
+
+        return F.when(F.size(parts) > 1, let(running_sums(lengths), marked)).otherwise(F.array().cast(SPANS))
 
-    return let(pieces, sum_up)
+    return let(pieces, with_starts)
 
 
 def before(text: Column, start: Column, width: int) -> Column:

@@ -74,10 +74,17 @@ def typed_numbers(text: Column) -> Column:
     The forms go by priority: a match is dropped if it starts or ends inside one
     that an earlier form has taken.  Matches of one form never overlap, so each
     form only has to look at the forms before it."""
-    taken = F.array().cast(MENTIONS)
-    for rank, (form, kind, pattern) in enumerate(V.TEXT_NUMBERS):
-        taken = let(taken, _take_free(_form_matches(text, rank, form, kind, pattern)))
-    return F.when(text.rlike(r"\d"), taken).otherwise(F.array().cast(MENTIONS))
+    # All forms are matched before any is taken: nested one in the other, they would be more
+    # than the analyzer follows.
+    found = F.array(*[_form_matches(text, rank, *form) for rank, form in enumerate(V.TEXT_NUMBERS)])
+
+    def take(matches: Column) -> Column:
+        taken = matches[0]
+        for rank in range(1, len(V.TEXT_NUMBERS)):
+            taken = let(taken, _take_free(matches[rank]))
+        return taken
+
+    return F.when(text.rlike(r"\d"), let(found, take)).otherwise(F.array().cast(MENTIONS))
 
 
 def is_year(value: Column) -> Column:
@@ -391,8 +398,8 @@ def claim_rows(docs: DataFrame) -> DataFrame:
 # -- normalised values ------------------------------------------------------------
 
 
-def shown_numbers(claim: Column, first: int = 3) -> Column:
-    """The first raw numbers of a claim, cut-off suffixes tidied: `$2.47 b` → `$2.47B`."""
+def shown_numbers(claim: Column) -> Column:
+    """All raw numbers of a claim, cut-off suffixes tidied: `$2.47 b` → `$2.47B`."""
 
     def tidy(raw: Column) -> Column:
         short = F.regexp_extract(raw, r"\s+([bBmMkKtT])$", 1)
@@ -403,7 +410,7 @@ def shown_numbers(claim: Column, first: int = 3) -> Column:
             .otherwise(raw)
         )
 
-    return F.transform(F.slice(claim["numbers"], 1, first), lambda n: tidy(n["raw"]))
+    return F.transform(claim["numbers"], lambda n: tidy(n["raw"]))
 
 
 def plain_number(raw: Column) -> Column:

@@ -105,8 +105,8 @@ def coverage_rows(docs: DataFrame) -> DataFrame:
     return signals.select("doc_id", F.explode(rows).alias("c")).select("doc_id", "c.*")
 
 
-def markers_matched(docs: DataFrame, cap: int = 20) -> DataFrame:
-    """Per document and perspective the first `cap` distinct markers that count."""
+def markers_matched(docs: DataFrame) -> DataFrame:
+    """Per document and perspective the distinct markers that count."""
     text = F.col("text")
     cols = []
     for name, pattern in V.PERSPECTIVES.items():
@@ -123,8 +123,8 @@ def markers_matched(docs: DataFrame, cap: int = 20) -> DataFrame:
     return rows.select(
         "doc_id",
         "m.perspective",
-        F.array_join(F.slice("m.names", 1, cap), "|").alias("markers"),
-        (F.size("m.names") > cap).alias("truncated"),
+        F.array_join("m.names", "|").alias("markers"),
+        F.size("m.names").cast("long").alias("n_markers"),
     )
 
 

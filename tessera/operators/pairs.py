@@ -35,7 +35,7 @@ def peer_pairs(peers: DataFrame) -> DataFrame:
 PAIR_COLUMNS = [
     "missing", "coverage_count", "voice", "voice_confidence", "voice_runner_up", "dominant",
     "dominant_margin", "balanced", "sourced_pct", "total_claims", "unhedged_count", "numbers_in_claims",
-    "leading_frames",
+    "leading_frame",
 ]
 
 
@@ -44,7 +44,7 @@ def pair_signals(framed: DataFrame) -> DataFrame:
     docs = with_panel(framed).select(
         "*",
         N.number_set(F.col("claims")).alias("numbers_in_claims"),
-        F.slice(F.transform("frames", lambda f: f["fvs_id"]), 1, 3).alias("leading_frames"),
+        F.try_element_at("frames", F.lit(1))["fvs_id"].alias("leading_frame"),
     )
     return side_by_side(docs, ["peer_group"], PAIR_COLUMNS)
 
@@ -156,13 +156,12 @@ def pair_summary(pairs: DataFrame, near: DataFrame) -> DataFrame:
     """What two documents share and where they part, with one verdict code.
 
     `near` holds the near matches; a pair without any is kept."""
-    (va, vb), (ta, tb), (fa, fb) = _sides("voice"), _sides("dominant"), _sides("leading_frames")
+    (va, vb), (ta, tb), (top_a, top_b) = _sides("voice"), _sides("dominant"), _sides("leading_frame")
     (xa, xb), (ra, rb) = _sides("numbers_in_claims"), _sides("voice_confidence")
     counts = near.groupBy("a_doc_id", "b_doc_id").agg(F.count("*").alias("n_near"))
     docs = pairs.join(counts, ["a_doc_id", "b_doc_id"], "left")
     agreed = F.size(F.array_intersect(xa, xb)).cast("long")
     off = F.coalesce("n_near", F.lit(0))
-    top_a, top_b = F.try_element_at(fa, F.lit(1)), F.try_element_at(fb, F.lit(1))
     verdict = (
         F.when(top_a == top_b, F.concat(F.lit("shared:"), top_a))
         .when(top_a.isNotNull() & top_b.isNotNull(), F.concat(F.lit("divergent:"), top_a, F.lit("/"), top_b))

@@ -11,12 +11,15 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores even if the table has fewer splits than the cluster has cores.
+#: Session setting: into how many partitions texts are dealt out after the scan. Unset, they stay
+#: in the splits of the scan, which spark.sql.files.maxPartitionBytes sizes, and are not shuffled.
+PARTITIONS = "tessera.text.partitions"
+
 
-    On a large table this returns the scan unchanged: no shuffle of the texts."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * 2, *keys) if df.rdd.getNumPartitions() < cores * 2 else df
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The table in as many partitions as PARTITIONS says; the scan's own if it says nothing."""
+    wanted = df.sparkSession.conf.get(PARTITIONS, None)
+    return df.repartition(int(wanted), *keys) if wanted else df
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,16 +28,15 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return seed(spread(raw, "doc_id"))
 
 
-PASSAGES = 40
-
-
 def documents_with_sources(spark: SparkSession, folder: str) -> DataFrame:
-    """documents(doc_id, text, source_text): each document beside its source."""
+    """documents(doc_id, text, source_text): each document beside its source.
+
+    All passages of `benchmark` serve in turn: the key has as many values as the table has rows."""
     passages = read_table(spark, folder, "benchmark").select(
         F.col("item_id").alias("_item"), F.col("text").alias("_passage")
     )
-    docs = documents(spark, folder)
-    paired = docs.join(passages, docs.doc_id % PASSAGES == passages._item, "left")
+    docs = documents(spark, folder).withColumn("_turn", F.col("doc_id") % passages.agg(F.count("*")).scalar())
+    paired = docs.join(passages, docs._turn == passages._item, "left")
     return paired.select("doc_id", "text", source_text(F.col("doc_id"), F.col("_passage")).alias("source_text"))
 
 

@@ -16,6 +16,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "6g")
+        .config("tessera.text.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
