@@ -25,22 +25,22 @@ CTES["facttab"] = (
 )
 CTES["fkey"] = (
     ("facttab",),
-    "SELECT *, k % 6 AS pick FROM (SELECT *, CAST('0x' || substr(sha256(concat_ws('/', provider, entity, period_type, year, quarter)), 1, 6) AS BIGINT) AS k FROM facttab WHERE provider <> 'market')",
+    "SELECT *, k % 6 AS pick, CAST('0x' || substr(sha256(entity), 1, 6) AS BIGINT) * 2 + coalesce(year, 0) % 2 AS doc_id FROM (SELECT *, CAST('0x' || substr(sha256(concat_ws('/', provider, entity, period_type, year, quarter)), 1, 6) AS BIGINT) AS k FROM facttab WHERE provider <> 'market')",
 )
 _money = "'$' || amount"
 CTES["fclaims"] = (
     ("fkey",),
-    f"""SELECT concat_ws('-', provider, entity, period_type, year, quarter) AS claim_id, entity AS heading,
+    f"""SELECT concat_ws('-', provider, entity, period_type, year, quarter) AS claim_id, doc_id, entity AS heading,
       CASE WHEN provider = 'countries' THEN entity || ' has a population of ' || amount || ' people.'
         WHEN provider = 'indicators' THEN entity || ' had a GDP of ' || {_money} || ' in ' || said || '.'
         WHEN pick = 5 THEN 'Revenue of ' || entity || ' is projected to reach ' || {_money} || ' in ' || said || '.'
         WHEN period_type = 'quarterly' THEN 'In Q' || quarter || ' ' || said || ' ' || entity || ' sales were ' || {_money} || '.'
         ELSE 'In ' || said || ' ' || entity || ' reported revenue of ' || {_money} || '.' END AS sentence,
       CASE WHEN provider = 'countries' THEN amount ELSE {_money} END AS raw,
-      CASE WHEN pick = 5 AND provider = 'filings' THEN 'projection' WHEN pick IN (0, 5) THEN 'verified' WHEN pick = 1 THEN 'close' ELSE 'contradicted' END AS expected
+      CASE WHEN pick = 5 AND provider = 'filings' THEN 'projection' WHEN pick IN (0, 5) THEN 'verified' WHEN pick = 1 THEN 'close' ELSE 'contradicted' END AS expected, provider AS primary_source
     FROM (SELECT *, CAST(CAST(round_even(value * [1.0, 1.02, 1.1, 3.0, 1.0, 1.0][CAST(pick AS INT) + 1]::DOUBLE, 0) AS BIGINT) AS VARCHAR) AS amount,
       CAST(year + CASE WHEN pick = 4 THEN 1 ELSE 0 END AS VARCHAR) AS said FROM fkey)
-    UNION ALL SELECT 'growth-' || entity || '-' || year, entity, 'Sales of ' || entity || ' grew 25% in ' || year || '.', '25%', 'unverifiable'
+    UNION ALL SELECT 'growth-' || entity || '-' || year, doc_id, entity, 'Sales of ' || entity || ' grew 25% in ' || year || '.', '25%', 'unverifiable', 'filings'
     FROM fkey WHERE provider = 'filings' AND period_type = 'annual' AND k % 5 = 0""",
 )
 _metric = "CASE " + " ".join(f"WHEN {has('sentence', p)} THEN '{n}'" for n, p in T.METRICS) + " ELSE '' END"
@@ -111,7 +111,7 @@ CTES["judgedv"] = (
       CAST({r("CASE WHEN NOT voted THEN 0.0::DOUBLE WHEN x > 0 AND e > 0 THEN 0.6 WHEN x > 0 AND c > 0 THEN 0.5 WHEN e >= 2 THEN least(ce + 0.05::DOUBLE, 0.98) WHEN e > 0 THEN ce WHEN c > 0 THEN cc WHEN x > 0 THEN cx ELSE 0.0 END", 4)} AS DOUBLE) AS confidence,
       CASE WHEN voted THEN bp END AS best_provider,
       CAST(CASE WHEN e > 0 THEN 1.0 WHEN c > 0 THEN 0.7 ELSE 0.0 END AS DOUBLE) AS precision, CAST(CASE WHEN e + c + x = 0 THEN 0.0 WHEN e + c >= 3 THEN 1.0 WHEN e + c = 2 THEN 0.8 WHEN e + c = 1 THEN 0.5 ELSE 0.2 END AS DOUBLE) AS corroboration
-    FROM (SELECT p.claim_id, heading, sentence, claim_type, value, expected, claim_type <> 'projection' AND value <> 0 AS voted, coalesce(e, 0) AS e, coalesce(c, 0) AS c, coalesce(x, 0) AS x, ce, cc, cx, bp,
+    FROM (SELECT p.claim_id, doc_id, primary_source, heading, sentence, claim_type, value, expected, claim_type <> 'projection' AND value <> 0 AS voted, coalesce(e, 0) AS e, coalesce(c, 0) AS c, coalesce(x, 0) AS x, ce, cc, cx, bp,
         coalesce(ctx, 0.0::DOUBLE) AS context, coalesce(auth, 0.0::DOUBLE) AS authority FROM parts p LEFT JOIN (
         SELECT claim_id, count(*) FILTER (match_type = 'exact') AS e, count(*) FILTER (match_type = 'close') AS c, count(*) FILTER (match_type = 'contradicted') AS x, max(confidence) FILTER (match_type = 'exact') AS ce,
           max(confidence) FILTER (match_type = 'close') AS cc, max(confidence) FILTER (match_type = 'contradicted') AS cx, max(confidence) AS ctx, max({_auth}) AS auth,
@@ -119,13 +119,13 @@ CTES["judgedv"] = (
 )
 CTES["brk"] = (
     ("judgedv",),
-    f"""SELECT DISTINCT g.claim_id FROM (SELECT claim_id, heading, TRY_CAST(regexp_extract(sentence, {lit(K.GROWTH)}, 1) AS DOUBLE) AS rate FROM judgedv WHERE claim_type = 'derived') g
-    JOIN (SELECT heading, list_distinct(list(value)) AS vs FROM judgedv WHERE verdict IN ('verified', 'close') AND value > 0 GROUP BY heading) h ON h.heading = g.heading
+    f"""SELECT DISTINCT g.claim_id FROM (SELECT claim_id, doc_id, heading, TRY_CAST(regexp_extract(sentence, {lit(K.GROWTH)}, 1) AS DOUBLE) AS rate FROM judgedv WHERE claim_type = 'derived') g
+    JOIN (SELECT doc_id, heading, list_distinct(list(value)) AS vs FROM judgedv WHERE verdict IN ('verified', 'close') AND value > 0 GROUP BY doc_id, heading) h ON h.heading = g.heading AND h.doc_id = g.doc_id
     WHERE rate IS NOT NULL AND len(vs) >= 2 AND len(list_filter(flatten(list_transform(vs, lambda b: list_transform(vs, lambda c: CASE WHEN c <> b AND abs((c - b) / b * 100 - rate) <= 2 THEN 1 END))), lambda x: x IS NOT NULL)) = 0""",
 )
 CTES["lab"] = (
     ("judgedv",),
-    "SELECT coalesce(best_provider, 'none') AS provider, expected IN ('verified', 'close') AS e, verdict IN ('verified', 'close') AS v, length(sentence) % 200 <= 90 AS fresh FROM judgedv WHERE expected <> 'projection'",
+    "SELECT primary_source AS provider, expected IN ('verified', 'close') AS e, verdict IN ('verified', 'close') AS v, length(sentence) % 200 <= 90 AS fresh FROM judgedv WHERE expected <> 'projection'",
 )
 CTES["scores"] = (
     ("lab",),
@@ -158,8 +158,8 @@ SQL = {
         "judgedv", "brk",
     ),
     "verification_rollup": query(
-        """SELECT heading, count(*) FILTER (verdict NOT IN ('projection', 'unverifiable')) AS checked, count(*) FILTER (verdict IN ('verified', 'close')) AS verified, count(*) FILTER (verdict = 'contradicted') AS contradicted,
-          count(*) FILTER (verdict = 'disputed') AS disputed, count(DISTINCT CASE WHEN verdict IN ('verified', 'close') THEN best_provider END) AS verified_providers FROM judgedv GROUP BY heading""",
+        """SELECT doc_id, count(*) FILTER (verdict NOT IN ('projection', 'unverifiable')) AS checked, count(*) FILTER (verdict IN ('verified', 'close')) AS verified, count(*) FILTER (verdict = 'contradicted') AS contradicted,
+          count(*) FILTER (verdict = 'disputed') AS disputed, count(DISTINCT CASE WHEN verdict IN ('verified', 'close') THEN best_provider END) AS verified_providers FROM judgedv GROUP BY doc_id""",
         "judgedv",
     ),
     "provider_provenance": query(

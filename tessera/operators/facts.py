@@ -74,6 +74,7 @@ def decompose(claims: DataFrame, this_year: int) -> DataFrame:
 
 # -- entities ------------------------------------------------------------------------
 
+# Forms of companies
 SUFFIXES = (" INC", " CORP", " LTD", " LLC", " CO", " PLC", " HOLDINGS", " GROUP")
 
 
@@ -292,6 +293,7 @@ def verdicts(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
+# How a rate of growth is said, and by how many points it may miss
 GROWTH = (
     r"(?i)(?:grew|growth|increase[ds]?|decline[ds]?|rose|fell|change[ds]?|up|down)\s+(?:by\s+|of\s+)?"
     r"(\d+(?:\.\d+)?)\s*%"
@@ -303,7 +305,7 @@ STEP = 1.05  # ratio of neighbouring buckets of values
 
 
 def check_derivations(judged: DataFrame) -> DataFrame:
-    """Growth claims are recomputed from the verified values under their heading.
+    """Growth claims are recomputed from the verified values under their heading of their document.
 
     A rate that no two distinct values yield is contradicted; a heading with fewer than
     two values decides nothing.  For a rate and an earlier value the later value has to
@@ -311,34 +313,34 @@ def check_derivations(judged: DataFrame) -> DataFrame:
     values of a heading, and no table of value pairs is built."""
     held = (
         judged.where(F.col("verdict").isin("verified", "close") & (F.col("heading") != "") & (F.col("value") > 0))
-        .select("heading", F.col("value").alias("v"))
+        .select("doc_id", "heading", F.col("value").alias("v"))
         .distinct()
     )
     rate = F.regexp_extract("sentence", GROWTH, 1).try_cast("double")
     growth = judged.where((F.col("claim_type") == "derived") & rate.isNotNull()).select(
-        "claim_id", "heading", rate.alias("rate")
+        "claim_id", "doc_id", "heading", rate.alias("rate")
     )
     bucket = lambda x: F.floor(F.log(x) / F.log(F.lit(STEP)))
     reach = (
-        growth.select("heading", "rate").distinct().join(held, "heading")
+        growth.select("doc_id", "heading", "rate").distinct().join(held, ["doc_id", "heading"])
         .select(
-            "heading", "rate", F.col("v").alias("earlier"),
+            "doc_id", "heading", "rate", F.col("v").alias("earlier"),
             (F.col("v") * (1 + (F.col("rate") - GROWTH_POINTS) / 100)).alias("low"),
             (F.col("v") * (1 + (F.col("rate") + GROWTH_POINTS) / 100)).alias("high"),
         )
         .withColumn("bucket", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))))
     )
-    later = held.select("heading", F.col("v").alias("later"), bucket(F.col("v")).alias("bucket"))
+    later = held.select("doc_id", "heading", F.col("v").alias("later"), bucket(F.col("v")).alias("bucket"))
     actual = (F.col("later") - F.col("earlier")) / F.col("earlier") * 100
     fitting = (
-        reach.join(later, ["heading", "bucket"])
+        reach.join(later, ["doc_id", "heading", "bucket"])
         .where((F.col("later") != F.col("earlier")) & (F.abs(actual - F.col("rate")) <= GROWTH_POINTS))
-        .groupBy("heading", "rate")
+        .groupBy("doc_id", "heading", "rate")
         .agg(F.count("*").alias("n_fitting"))
     )
-    sizes = held.groupBy("heading").agg(F.count("*").alias("n_values"))
+    sizes = held.groupBy("doc_id", "heading").agg(F.count("*").alias("n_values"))
     tested = (
-        growth.join(sizes, "heading").join(fitting, ["heading", "rate"], "left")
+        growth.join(sizes, ["doc_id", "heading"]).join(fitting, ["doc_id", "heading", "rate"], "left")
         .where((F.col("n_values") >= 2) & F.col("n_fitting").isNull())
         .select("claim_id", F.lit(True).alias("broken"))
     )
@@ -350,7 +352,7 @@ def check_derivations(judged: DataFrame) -> DataFrame:
     )
 
 
-def verification_rollup(judged: DataFrame, key: str = "heading") -> DataFrame:
+def verification_rollup(judged: DataFrame, key: str = "doc_id") -> DataFrame:
     v = F.col("verdict")
     return judged.groupBy(key).agg(
         F.count_if(~v.isin("projection", "unverifiable")).alias("checked"),

@@ -118,7 +118,7 @@ def state_hash(docs: DataFrame) -> DataFrame:
     and the sums are hashed once.  No list of the corpus is ever built."""
     row = F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256)), 256)
     slices = [
-        F.sum(F.conv(F.substring(row, 1 + 8 * i, 8), 16, 10).cast("long")).alias(f"s{i}")
+        F.sum(F.conv(F.substring(row, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).alias(f"s{i}")
         for i in range(4)
     ]
     sums = docs.agg(F.count("*").alias("n_docs"), *slices)

@@ -52,15 +52,19 @@ def _resolve(s, d):
 
 
 def _typed(s, d):
-    """Decomposed claims with the entity their heading stands for."""
+    """Decomposed claims with the entity that their heading is resolved to."""
     # a table of its own: routes, evidence and verdicts all read it
     claims = cut_lineage(_decomposed(s, d))
-    country = F.col("heading").startswith("NATION_")
-    return claims.select(
-        "*",
-        F.when(country, "country").otherwise("company").alias("entity_type"),
-        F.col("heading").alias("canonical"),
+    asked = claims.select(F.col("heading").alias("subject")).distinct()
+    found = K.resolve_entities(asked, _aliases(s, d), _companies(s, d))
+    # facts name companies in full, without the form of the company behind the name
+    full = C.read_table(s, d, "customer").select(
+        F.concat(F.lit("T"), F.col("c_custkey").cast("string")).alias("canonical"), F.col("c_name").alias("_full")
     )
+    known = found.join(full, "canonical", "left").select(
+        F.col("subject").alias("heading"), "entity_type", F.coalesce("_full", "canonical").alias("canonical")
+    )
+    return claims.join(known, "heading", "left")
 
 
 def _routes(s, d):
@@ -74,14 +78,14 @@ def _evidence(s, d, claims=None):
 
 def _judged(s, d):
     typed = _typed(s, d)
-    claims = typed.select("claim_id", "heading", "sentence", "claim_type", "value", "expected")
+    claims = typed.select("claim_id", "doc_id", "primary_source", "heading", "sentence", "claim_type", "value", "expected")
     return K.verdicts(claims, _evidence(s, d, typed))
 
 
 def _labelled(judged):
     key = F.length("sentence")
     return judged.select(
-        F.coalesce("best_provider", F.lit("none")).alias("provider"),
+        F.col("primary_source").alias("provider"),
         "expected",
         "verdict",
         F.date_sub(F.to_date(F.lit(AS_OF)), (key % 200).cast("int")).alias("as_of_date"),

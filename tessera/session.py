@@ -18,5 +18,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)

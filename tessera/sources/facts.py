@@ -67,10 +67,13 @@ FACTORS = (1.0, 1.02, 1.1, 3.0, 1.0, 1.0)  # by key: exact, close, off, far off,
 
 
 def fact_claims(spark: SparkSession, folder: str) -> DataFrame:
-    """claims(claim_id, doc_id, heading, sentence, raw, expected): sentences about the facts.
+    """claims(claim_id, doc_id, heading, sentence, raw, expected, primary_source).
 
-    The factor a value is multiplied with says what a check should find."""
+    The factor a value is multiplied with says what a check should find.  What is claimed
+    about one entity stands under its name in two documents, by odd and even years."""
     facts = load_facts(spark, folder).where(F.col("provider") != "market")
+    number = F.conv(F.substring(F.sha2("entity", 256), 1, 6), 16, 10).cast("long")
+    doc = (number * 2 + F.coalesce("year", F.lit(0)) % 2).alias("doc_id")
     key = F.conv(F.substring(F.sha2(F.concat_ws("/", "provider", "entity", "period_type", "year", "quarter"), 256), 1, 6), 16, 10).cast("long")
     rows = facts.withColumn("_key", key)
     pick = F.col("_key") % len(FACTORS)
@@ -102,16 +105,20 @@ def fact_claims(spark: SparkSession, folder: str) -> DataFrame:
     growth = rows.where((F.col("provider") == "filings") & (F.col("period_type") == "annual") & (F.col("_key") % 5 == 0))
     derived = growth.select(
         F.concat_ws("-", F.lit("growth"), entity, F.col("year").cast("string")).alias("claim_id"),
+        doc,
         entity.alias("heading"),
         F.concat_ws("", F.lit("Sales of "), entity, F.lit(" grew 25% in "), F.col("year").cast("string"), F.lit(".")).alias("sentence"),
         F.lit("25%").alias("raw"),
         F.lit("unverifiable").alias("expected"),
+        F.lit("filings").alias("primary_source"),
     )
     direct = rows.select(
         F.concat_ws("-", "provider", "entity", "period_type", F.col("year").cast("string"), F.col("quarter").cast("string")).alias("claim_id"),
+        doc,
         entity.alias("heading"),
         sentence.alias("sentence"),
         raw.alias("raw"),
         expected.alias("expected"),
+        F.col("provider").alias("primary_source"),
     )
     return direct.unionByName(derived)

@@ -101,16 +101,18 @@ def test_consensus(spark):
 
 def test_growth_is_recomputed(spark):
     rows = [
-        ("v1", "H", "s", "direct", 100.0, "verified", 0.9), ("v2", "H", "s", "direct", 130.0, "close", 0.9),
-        ("g1", "H", "It grew 30% in all", "derived", 30.0, "unverifiable", 0.0),
-        ("g2", "H", "It grew 50% in all", "derived", 50.0, "unverifiable", 0.0),
-        ("g3", "Other", "It grew 50% in all", "derived", 50.0, "unverifiable", 0.0),
+        ("v1", 1, "H", "s", "direct", 100.0, "verified", 0.9), ("v2", 1, "H", "s", "direct", 130.0, "close", 0.9),
+        ("g1", 1, "H", "It grew 30% in all", "derived", 30.0, "unverifiable", 0.0),
+        ("g2", 1, "H", "It grew 50% in all", "derived", 50.0, "unverifiable", 0.0),
+        ("g3", 1, "Other", "It grew 50% in all", "derived", 50.0, "unverifiable", 0.0),
+        # the same heading in another document has no values of its own
+        ("g4", 2, "H", "It grew 50% in all", "derived", 50.0, "unverifiable", 0.0),
     ]
     judged = spark.createDataFrame(
-        rows, "claim_id string, heading string, sentence string, claim_type string, value double, verdict string, confidence double"
+        rows, "claim_id string, doc_id long, heading string, sentence string, claim_type string, value double, verdict string, confidence double"
     )
     got = {r.claim_id: r.verdict for r in K.check_derivations(judged).collect()}
-    assert (got["g1"], got["g2"], got["g3"]) == ("unverifiable", "contradicted", "unverifiable")
+    assert [got[x] for x in ("g1", "g2", "g3", "g4")] == ["unverifiable", "contradicted", "unverifiable", "unverifiable"]
 
 
 def test_near_matches_against_brute_force(spark):
@@ -177,3 +179,29 @@ def test_arriving_documents_are_profiled_once(spark):
     out = spark.read.parquet(f"{folder}/out")
     assert out.count() == 6
     assert J.frame_counts(out).where(F.col("n") > 6).count() == 0
+
+
+def test_every_passage_serves_as_source(spark, tmp_path):
+    for name, rows in (("documents", 400), ("benchmark", 200)):
+        ids = spark.range(rows)
+        key = "doc_id" if name == "documents" else "item_id"
+        ids.selectExpr(f"id AS {key}", f"concat('{name} text number ', id) AS text").write.parquet(str(tmp_path / f"{name}.parquet"))
+    paired = C.documents_with_sources(spark, str(tmp_path))
+    held = paired.select(F.regexp_extract("source_text", r"benchmark text number (\d+)$", 1).alias("n")).distinct().count()
+    assert held == 200
+
+
+def test_offsets_of_hits(spark):
+    import re
+    import time
+
+    from tessera.functions import spans as S
+
+    texts = ["", "abc", "12 a 3", "é1é22é333", " ".join(f"é{k} x" for k in range(700))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in df.select("t", S.spans(F.col("t"), r"\d+").alias("s")).collect():
+        assert [tuple(x) for x in row.s] == [(m[0], m.start(), m.end()) for m in re.finditer(r"\d+", row.t)]
+    long = spark.createDataFrame([(" ".join(map(str, range(40000))),)], "t string")
+    counted = long.select(F.sum(F.transform(S.spans(F.col("t"), r"\d+"), lambda h: h["end"])[39999]).alias("n"))
+    start = time.time()
+    assert counted.first().n == len(" ".join(map(str, range(40000)))) and time.time() - start < 20
