@@ -295,7 +295,7 @@ SQL = {
         r"""SELECT doc_id, perspective, coalesce(array_to_string(ms, '|'), '') AS markers, CAST(coalesce(len(ms), 0) AS BIGINT) AS n_markers FROM (
           SELECT doc_id, perspective, list_sort(list_distinct(list(lower(regexp_replace(marker, '\s+', ' ', 'g'))) FILTER (NOT gone))) AS ms
           FROM judged GROUP BY doc_id, perspective)
-        UNION ALL SELECT d.doc_id, p.perspective, '', false FROM docs d
+        UNION ALL SELECT d.doc_id, p.perspective, '', 0 FROM docs d
           CROSS JOIN (SELECT unnest(['causes','risks','stakeholders','trends','uncertainty']) AS perspective) p
           ANTI JOIN judged j ON j.doc_id = d.doc_id AND j.perspective = p.perspective""",
         "judged",
