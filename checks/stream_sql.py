@@ -1,12 +1,23 @@
-"""SQL for stream jobs run on tables, and for the measurement profile."""
+"""SQL for stream jobs run on tables, and for the measurement profile, which is the join of its layers."""
 
 from __future__ import annotations
 
+from checks import claims_sql, framing_sql, grounding_sql
 from checks.sql import query
 
+_LAYERS = {
+    "mechanism_ratio": "mechanism_ratio", "assertion_ratio": "assertion_ratio", "claim_density": "numeric_per_kw, causal_per_kw",
+    "source_fidelity": "unsourced_rate", "entity_provenance": "unsourced_entity_rate", "vocabulary_proximity": "mean_proximity",
+    "presentation_features": "type_token_ratio", "epistemic_calibration": "calibration_score", "information_novelty": "mean_novelty",
+    "quality_profile": "substance_index, presentation_index, quality_gap", "grounding_mix": "projected_share, derivation_regime",
+}
+_ALL = {**framing_sql.SQL, **claims_sql.SQL, **grounding_sql.SQL}
+
 _kind = "CASE WHEN value < 10 THEN 'timeout' WHEN value < 20 THEN 'refused' ELSE 'malformed' END"
 
 SQL = {
+    "measure_profile": "SELECT doc_id, " + ", ".join(_LAYERS.values()) + " FROM "
+    + " JOIN ".join(f"(SELECT doc_id, {columns} FROM ({_ALL[name]})) l{k}" + (" USING (doc_id)" if k else "") for k, (name, columns) in enumerate(_LAYERS.items())),
     "provider_error_window": f"""SELECT start AS window_start, start + INTERVAL 1 HOUR AS window_end, provider, kind, count(*) AS errors, max(ts) AS last_error FROM (
       SELECT ts, 'provider-' || (user_id % 9) AS provider, {_kind} AS kind,
         unnest(range(12)) AS k, time_bucket(INTERVAL 5 MINUTE, ts) - to_minutes(5 * unnest(range(12))) AS start FROM events WHERE event_type = 'error') GROUP BY ALL""",
