@@ -78,6 +78,23 @@ class Codes:
         return found
 
 
+    def stretch(self, begin: int, end: int) -> np.ndarray:
+        """The ids from begin to end: neighbours lie side by side at every level, from the rank of the first on."""
+        found = np.zeros(end - begin, np.uint32)
+        who: np.ndarray | slice = slice(None)
+        for level, (codes, marks, ranks) in enumerate(self.levels):
+            found[who] |= codes[begin:end].astype(np.uint32) << np.uint32(8 * level)
+            bits = np.unpackbits(marks.view(np.uint8)[begin >> 3 : (end + 7) >> 3], bitorder="little")[begin & 7 :][: end - begin]
+            on = np.flatnonzero(bits)
+            if not on.size:
+                break
+            who = on if level == 0 else who[on]
+            below = int(marks[begin >> 6]) & ((1 << (begin & 63)) - 1)
+            begin = int(ranks[begin >> 6]) + below.bit_count()
+            end = begin + len(on)
+        return found
+
+
 class LibraryCoder:
     """Ids by the tokenizers library, which is asked once for each distinct piece."""
 
@@ -196,7 +213,7 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
                 shard = Codes(row["codes"], row["marks"], row["ranks"])
                 begin = np.frombuffer(row["doc_begin"], "<i8")
                 end = np.append(begin[1:], row["n_ids"])
-                ids = [shard.at(np.arange(a, b)).astype("<u4").tobytes() for a, b in zip(begin, end)]
+                ids = [shard.stretch(a, b).astype("<u4").tobytes() for a, b in zip(begin.tolist(), end.tolist())]
                 named = np.frombuffer(row["has_id"], np.uint8) == 0
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -86,7 +86,11 @@ def test_codes(spark, frame, rows, monkeypatch):
 def test_levels():
     for ids in ([0], [255, 256], [1 << 31, 5, 70000, 255], list(range(1000))):
         ids = np.array(ids, np.uint32)
-        assert (direct_codes.Codes(*direct_codes.split_levels(ids)).at(np.arange(len(ids))) == ids).all()
+        codes = direct_codes.Codes(*direct_codes.split_levels(ids))
+        assert (codes.at(np.arange(len(ids))) == ids).all()
+        for begin in range(0, len(ids) + 1, max(1, len(ids) // 7)):
+            for end in range(begin, len(ids) + 1, max(1, len(ids) // 5)):
+                assert (codes.stretch(begin, end) == ids[begin:end]).all()
 
 
 def test_empty_table(spark):
