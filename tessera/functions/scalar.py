@@ -49,6 +49,56 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _begins(sorted_: Column, key) -> Column:
+    """The places in a sorted array where a new key begins."""
+    places = F.when(F.size(sorted_) > 0, F.sequence(F.lit(0), F.size(sorted_) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(places, lambda k: (k == 0) | (key(sorted_[k]) != key(sorted_[F.greatest(k - 1, F.lit(0))])))
+
+
+def counted(words: Column) -> Column:
+    """array<struct<w, m>>: each distinct word with how often it occurs; one sort, no pairs."""
+    return let(
+        F.sort_array(words),
+        lambda ws: let(
+            _begins(ws, lambda w: w),
+            lambda at: F.transform(
+                at,
+                lambda k, j: F.struct(
+                    ws[k].alias("w"), (F.coalesce(F.try_element_at(at, j + 2), F.size(ws)) - k).alias("m")
+                ),
+            ),
+        ),
+    )
+
+
+def first_of_each(items: Column, key) -> Column:
+    """The items that are the first of their key, in order; those without a key go. One sort, no pairs."""
+
+    def pick(all_: Column) -> Column:
+        pairs = F.sort_array(F.transform(all_, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
+        firsts = let(pairs, lambda ps: F.transform(_begins(ps, lambda p: p["k"]), lambda k: ps[k]))
+        places = F.sort_array(F.transform(F.filter(firsts, lambda p: p["k"].isNotNull()), lambda p: p["i"]))
+        return F.transform(places, lambda i: all_[i])
+
+    return let(items, pick)
+
+
+def count_known(words: Column, known: Column) -> Column:
+    """How many of the words, repeats included, are among the known ones; one sort, no pairs."""
+    flagged = F.concat(
+        F.transform(known, lambda w: F.struct(w.alias("w"), F.lit(0).alias("m"))),
+        counted(words),
+    )
+    return let(
+        F.sort_array(flagged),
+        lambda es: F.aggregate(
+            F.filter(es, lambda e, j: (e["m"] > 0) & (j > 0) & (es[F.greatest(j - 1, F.lit(0))]["w"] == e["w"])),
+            F.lit(0),
+            lambda acc, e: acc + e["m"],
+        ),
+    )
+
+
 def total(numbers: Column) -> Column:
     """Sum of an array of doubles, in order."""
     return F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x)

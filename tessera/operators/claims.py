@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions import spans as S, text as T, vocabulary as V
-from tessera.functions.scalar import count_where, equals, find_all, kilowords, let, rounded
+from tessera.functions.scalar import count_where, equals, find_all, first_of_each, kilowords, let, rounded
 
 CONTEXT = 50
 MENTIONS = (
@@ -273,13 +273,7 @@ def with_claims(docs: DataFrame) -> DataFrame:
             ),
         )
 
-    once = let(
-        let(covered, fresh),
-        lambda ns: let(
-            F.transform(ns, lambda n: n["value"]),
-            lambda vs: F.filter(ns, lambda n, i: F.array_position(vs, n["value"]) == i + 1),
-        ),
-    )
+    once = first_of_each(let(covered, fresh), lambda n: n["value"])
 
     def tight(n: Column) -> Column:
         at = F.call_function("instr", n["context"], n["raw"]) - 1

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions import spans as S, text as T, vocabulary as V
 from tessera.functions.scalar import (
-    count_matches, count_where, find_all, kilowords, let, mean, percent, rounded, total,
+    count_matches, count_where, counted, find_all, kilowords, let, mean, percent, rounded, total,
 )
 
 CLASSES = tuple(V.PERSPECTIVES)
@@ -446,12 +446,7 @@ def add_novelty(docs: DataFrame) -> DataFrame:
     docs = docs.select(*keep, words.alias("_w"))
 
     def entries(w: Column, i: Column) -> Column:
-        own = F.transform(
-            F.array_distinct(w),
-            lambda x: F.struct(
-                x.alias("x"), i.alias("i"), F.size(F.filter(w, lambda y: y == x)).alias("m")
-            ),
-        )
+        own = F.transform(counted(w), lambda c: F.struct(c["w"].alias("x"), i.alias("i"), c["m"].alias("m")))
         empty = F.struct(
             F.concat(F.lit("#"), i.cast("string")).alias("x"), i.alias("i"), F.lit(0).alias("m")
         )
@@ -467,19 +462,23 @@ def add_novelty(docs: DataFrame) -> DataFrame:
     by_sentence = F.sort_array(
         F.transform("_firsts", lambda f: F.struct(f["i"].alias("i"), f["m"].alias("m")))
     )
-    start = F.struct(
-        F.lit(0).alias("i"), F.lit(0).alias("sum"), F.array().cast("array<int>").alias("sums")
-    )
 
-    def step(acc: Column, f: Column) -> Column:
-        same = f["i"] == acc["i"]
-        return F.struct(
-            f["i"].alias("i"),
-            F.when(same, acc["sum"] + f["m"]).otherwise(f["m"]).alias("sum"),
-            F.when(same, acc["sums"]).otherwise(F.array_append(acc["sums"], acc["sum"])).alias("sums"),
+    def by_run(ps: Column) -> Column:
+        """Every sentence has a run, and a run's sum is the difference of two running sums."""
+        places = F.filter(
+            F.sequence(F.lit(0), F.size(ps) - 1), lambda k: (k == 0) | (ps[k]["i"] != ps[F.greatest(k - 1, F.lit(0))]["i"])
+        )
+        return let(
+            S.running_sums(F.transform(ps, lambda p: p["m"])),
+            lambda before: let(
+                places,
+                lambda at: F.transform(
+                    at, lambda k, j: before[F.coalesce(F.try_element_at(at, j + 2), F.size(ps))] - before[k]
+                ),
+            ),
         )
 
-    sums = F.aggregate(by_sentence, start, step, lambda acc: F.array_append(acc["sums"], acc["sum"]))
+    sums = F.when(F.size(by_sentence) > 0, let(by_sentence, by_run)).otherwise(F.array(F.lit(0)))
     shares = let(
         sums, lambda ss: F.transform("_w", lambda w, i: F.try_element_at(ss, i + 1) / F.size(w))
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions import spans as S, text as T, vocabulary as V
-from tessera.functions.scalar import count_where, find_all, let, mean, precision_label, rounded
+from tessera.functions.scalar import count_known, count_where, find_all, first_of_each, let, mean, precision_label, rounded
 from tessera.operators import claims as N
 from tessera.operators.text_tables import with_plain_sentences
 
@@ -76,13 +76,7 @@ def with_entities(docs: DataFrame) -> DataFrame:
             ),
             lambda e: _is_name(rule, e["value"]),
         )
-        return let(
-            named,
-            lambda es: let(
-                F.transform(es, lambda e: e["value"]),
-                lambda vs: F.filter(es, lambda e, i: F.array_position(vs, e["value"]) == i + 1),
-            ),
-        )
+        return first_of_each(named, lambda e: e["value"])
 
     return docs.select(*keep, F.concat(*[by_rule(*rule) for rule in ENTITY_RULES]).alias("entities"))
 
@@ -323,7 +317,7 @@ def with_sentence_facts(docs: DataFrame) -> DataFrame:
             p["sentence"].alias("sentence"),
             p["numbers"].alias("numbers"),
             F.size(p["words"]).alias("n_words"),
-            F.size(F.filter(p["words"], lambda w: F.array_contains(common_words, w))).alias("n_known"),
+            count_known(p["words"], F.array_intersect(p["words"], common_words)).alias("n_known"),
             F.size(F.array_distinct(p["words"])).alias("n_types"),
             F.size(F.array_intersect(p["words"], common_words)).alias("n_known_types"),
             p["sentence"].rlike(V.FIRM_ASSERTION).alias("firm"),
