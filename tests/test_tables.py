@@ -205,3 +205,19 @@ def test_offsets_of_hits(spark):
     counted = long.select(F.sum(F.transform(S.spans(F.col("t"), r"\d+"), lambda h: h["end"])[39999]).alias("n"))
     start = time.time()
     assert counted.first().n == len(" ".join(map(str, range(40000)))) and time.time() - start < 20
+
+
+def test_hits_stand_in_their_sentences(spark):
+    from tessera.operators.located import hits_in_sentences
+
+    text = (
+        "# Risks ahead\n\nThe plan carries risks that the crews\nhave named in their letter. Costs grew because the canal opened late.\n\n"
+        "Short risks.\n\nThe plan carries risks that the crews have named in their letter. It is an uncertain matter for all of us."
+    )
+    rows = hits_in_sentences(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")).collect()
+    at = {(r.marker, r.start): r.sent_no for r in rows}
+    risks = [k for k in range(len(text)) if text.lower().startswith("risks", k)]
+    # A heading and a sentence too short to count hold their hits outside of all sentences.
+    assert [at["risks", k] for k in risks] == [None, 0, None, 2]
+    assert at["because", text.index("because")] == 1
+    assert {r.doc_id for r in rows} == {1}
