@@ -30,6 +30,8 @@ from tessera.llm.winnow import Cut
 HOT = 1500
 #: Bytes of runs that a task resolves at once.
 AT_ONCE = 3_000_000
+#: Runs that are handed on at once when they have been fetched.
+FETCHED_ROWS = 20_000
 KEY = ["_id", "_h"]
 RUNS = "anchor long, seg long, _id long, _h int, start int, n int"
 WINDOWS = "_id long, _h int, start int, stop int"
@@ -73,7 +75,9 @@ def _fetch(asked: DataFrame, rows: DataFrame, cut: Callable[[str], Cut], length:
     """The units of the runs that are asked for; a text is read once for all of its runs."""
     lists = asked.groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "start", "n", "hot", "alone")).alias("runs"))
     found = rows.join(lists, KEY).select("_id", "_h", "_text", "runs")
-    names = ["anchor", "_id", "_h", "start", "n", "hot", "alone", "body"]
+
+    def rows_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, field.type) for x, field in zip(zip(*out), _FETCHED)], schema=_FETCHED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,11 +86,11 @@ def _fetch(asked: DataFrame, rows: DataFrame, cut: Callable[[str], Cut], length:
                 units = cut(text)
                 for x in wanted:
                     out.append((x["anchor"], id_, h, x["start"], x["n"], x["hot"], x["alone"], units.part(x["start"], x["start"] + x["n"] + length - 1)))
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], schema=_FETCHED)
+                if len(out) > FETCHED_ROWS:
+                    yield rows_of(out)
                     out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _FETCHED)], names=names)
+                yield rows_of(out)
 
     return found.mapInArrow(run, "anchor long, _id long, _h int, start int, n int, hot boolean, alone boolean, body binary")
 

@@ -69,6 +69,7 @@ def compare(got, want, rows):
 @pytest.mark.parametrize("hot", [1500, 6])
 def test_bytes(frame, rows, hot, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "FETCHED_ROWS", 20_000 if hot > 6 else 3)
     own = in_order(rows)
     count = collections.Counter(t.encode()[k : k + 200] for _, t in own for k in range(len(t.encode()) - 199))
     want = {}
@@ -85,7 +86,6 @@ def test_bytes(frame, rows, hot, monkeypatch):
 @pytest.mark.parametrize("hot", [1500, 6])
 def test_words(frame, rows, hot, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)
-    monkeypatch.setattr(word_repeats, "TREE", 1 << 18 if hot > 6 else 50)
     own = in_order(rows)
     words = [t.encode().split() for _, t in own]
     want = {}
@@ -141,3 +141,16 @@ def test_prefixes_of_neighbours():
 
         want = [False] + [head(a) is not None and head(a) == head(b) for a, b in zip(order, order[1:])]
         assert apart.tolist() == want
+
+
+def test_trees_that_are_split(monkeypatch):
+    random.seed(6)
+    monkeypatch.setattr(word_repeats, "LENGTH", 3)
+    symbol = np.array([random.randrange(4) for _ in range(300)])
+    found = {}
+    for limit in (1 << 18, 20):
+        monkeypatch.setattr(word_repeats, "TREE", limit)
+        suffix = np.arange(len(symbol) - 3)
+        found[limit] = sorted(x for leaf, _ in word_repeats.deep_nodes(symbol, suffix, np.zeros(len(suffix), np.int64), 0) for x in leaf.tolist())
+    count = collections.Counter(tuple(symbol[k : k + 3]) for k in range(len(symbol) - 3))
+    assert found[1 << 18] == found[20] == [k for k in range(len(symbol) - 3) if count[tuple(symbol[k : k + 3])] > 1]
