@@ -32,9 +32,9 @@ from tessera.llm.shared import NO_ID, in_small_batches, settle
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints that one prefix may have before it is dealt anew, and bits added then.
-HOT, MORE_BITS = 2048, 6
+HOT, MORE_BITS = 1024, 6
 #: Variants that a task writes out at once.
-AT_ONCE = 4_000_000
+AT_ONCE = 1_500_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -126,7 +126,7 @@ def _links(prefix: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, n
         if some.any():
             masks = flips(64 - bits, RADIUS // 2 - used)
             made.append((base[some, None] ^ masks).ravel())
-            owner.append(np.repeat(who[some], len(masks)))
+            owner.append(np.repeat(who[some].astype(np.int32), len(masks)))
     made, owner = np.concatenate(made), np.concatenate(owner)
     again = np.sort(made)
     again = again[1:][again[1:] == again[:-1]]
@@ -142,7 +142,7 @@ def _links(prefix: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, n
     made, owner = made[order], owner[order]
     begin = np.append(True, made[1:] != made[:-1])
     first = owner[np.flatnonzero(begin)][np.cumsum(begin) - 1]
-    pair = np.unique((first * len(names) + owner)[first != owner])
+    pair = np.unique((first.astype(np.int64) * len(names) + owner)[first != owner])
     root = _forest(pair // len(names), pair % len(names), len(names))
     moved = np.flatnonzero(root != np.arange(len(names)))
     return names[moved], names[root[moved]]
