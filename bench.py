@@ -16,7 +16,7 @@ from tessera.plans.registry import QUERIES
 HEADLINE = [
     "coverage", "voice", "epistemic_basis", "number_mentions", "claim_stats", "information_novelty",
     "doc_signals", "frame_suggestions", "source_fidelity", "near_matches", "peer_outliers",
-    "number_stability", "load_facts", "provider_error_window",
+    "number_stability", "load_facts", "provider_error_window", "document_profile", "pair_summary", "claim_fact_match",
 ]
 
 
