@@ -1,7 +1,7 @@
 """Five stages over the documents, each fed with all that the stage before it kept.
 
 toxicity        documents that score as toxic go
-line dedup      later repeated runs of lines go, n_chars follows the text
+line dedup      later repeats of a line go, n_chars follows the text
 near dedup      one document of each group of near copies stays
 decontamination words of benchmark passages are cut out of the texts
 byte-level BPE  the ids of each text and a digest of what they decode to
@@ -29,7 +29,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _length(line_dedup.without_repeats(docs).select(*docs.columns))
+    return _length(line_dedup.without_repeats(docs, least=1).select(*docs.columns))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Operator 2: line dedup by winnowing over the hashes of lines.
 
 A text is its lines; blank ones (no more than blanks, tabs and carriage returns) are kept and
-not counted. Of every RUN consecutive lines the one of least hash is the fingerprint, so two
-texts that share RUN lines share a fingerprint. Places of equal fingerprints are joined (see
-`repeats`), the match is extended to the lines on both sides, and of a repeated run of RUN lines
-or more every place but the first, in the order of doc_id and line, is deleted. Overlapping runs
-are judged on the input, not on what is left.
+not counted. Of every `least` consecutive lines the one of least hash is the fingerprint, so two
+texts that share `least` lines share a fingerprint. Places of equal fingerprints are joined (see
+`repeats`), the match is extended to the lines on both sides, and of a repeated run of `least`
+lines or more every place but the first, in the order of doc_id and line, is deleted. Overlapping
+runs are judged on the input, not on what is left. The query and its SQL have runs of RUN lines;
+with `least` = 1, as in the pipeline, a repeated line goes whatever its neighbours are.
 
 Defined cases: null texts stay null and have no lines; a text of fewer lines than a run loses
 nothing; documents without a doc_id come before all others; rows of one doc_id and different
@@ -17,6 +18,7 @@ document keeps its row even if no line is left. Other columns are handed on as t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,8 @@ def line_cut(text: str) -> Cut:
     raw = [lines[k].encode() for k in places]
     size = np.fromiter(map(len, raw), np.int64, len(raw))
     begin = np.cumsum(size + 1) - size - 1
-    values = np.array([xxhash.xxh3_64_intdigest(x) for x in raw], np.uint64)
+    # Another seed than that of whole runs, so that a run of one line is known by two hashes.
+    values = np.array([xxhash.xxh3_64_intdigest(x, seed=1) for x in raw], np.uint64)
     return Cut(b"\n".join(raw), begin, begin + size, mixed(values))
 
 
@@ -50,14 +53,14 @@ def line_ends(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.append(0, gaps + 1), np.append(gaps, len(body))
 
 
-def later_runs(group: Group) -> tuple[np.ndarray, np.ndarray]:
+def later_runs(group: Group, least: int = RUN) -> tuple[np.ndarray, np.ndarray]:
     """Runs and offsets of the windows of lines that occur before in the group."""
     seen: set[bytes] = set()
     run, offset = [], []
     for number, (body, windows) in enumerate(zip(group.body, group.n.tolist())):
         lines = body.split(b"\n")
         for k in range(windows):
-            window = b"\n".join(lines[k : k + RUN])
+            window = b"\n".join(lines[k : k + least])
             if window in seen:
                 run.append(number)
                 offset.append(k)
@@ -65,10 +68,10 @@ def later_runs(group: Group) -> tuple[np.ndarray, np.ndarray]:
     return np.array(run, np.int64), np.array(offset, np.int64)
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = RUN) -> DataFrame:
     """All columns of docs, with the lines left in `text`, and _n_lines and _n_removed beside."""
     rows = keyed(docs, doc_id, text)
-    windows = repeated_windows(rows, line_cut, RUN, 1, later_runs, line_ends, later=True)
+    windows = repeated_windows(rows, line_cut, least, 1, partial(later_runs, least=least), line_ends, later=True)
     whole = with_windows(docs.select(F.struct("*").alias("_row"), *key_columns(docs, doc_id, text)), windows).select("_row", "_windows")
     schema = T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_removed", T.LongType())])
     place = docs.columns.index(text)
@@ -80,7 +83,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             columns, kept, count, removed = batch.column(0).flatten(), [], [], []
             for body, found in zip(columns[place].to_pylist(), batch.column(1).to_pylist()):
                 lines, places = counted_lines(body or "")
-                gone = {places[k] for start, stop in covered(found, RUN) for k in range(start, stop)}
+                gone = {places[k] for start, stop in covered(found, least) for k in range(start, stop)}
                 kept.append(body if body is None or not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone))
                 count.append(len(places))
                 removed.append(len(gone))

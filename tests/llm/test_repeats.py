@@ -8,7 +8,9 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessera.llm import byte_repeats, line_dedup, repeats, word_repeats
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
@@ -109,6 +111,25 @@ def test_lines(frame, rows, hot, monkeypatch):
     compare(line_dedup.digests(frame), want, rows)
 
 
+def test_single_lines(frame, rows):
+    own = in_order(rows)
+    cut = [line_dedup.counted_lines(t) for _, t in own]
+    flags = removed_later([[lines[k] for k in places] for lines, places in cut], 1)
+    want = {}
+    for (i, t), (lines, places), gone in zip(own, cut, flags):
+        out = {k for k, f in zip(places, gone) if f}
+        want[i, t] = len(out), "\n".join(x for k, x in enumerate(lines) if k not in out)
+    got = line_dedup.without_repeats(frame, least=1).select("doc_id", "_n_removed", F.coalesce("text", F.lit("")))
+    compare(got, want, rows)
+
+
+def test_stage_removes_a_line_between_unique_lines(spark):
+    passage = "a passage that is one line " * 12
+    docs = spark.createDataFrame([(1, f"a\n{passage}\nb", 0), (2, f"c\n{passage}\nd", 0), (3, passage, 0)], "doc_id long, text string, n_chars int")
+    got = {x.doc_id: (x.text, x.n_chars) for x in corpus_pipeline.lines_once(spark, docs, "").collect()}
+    assert got == {1: (f"a\n{passage}\nb", len(passage) + 4), 2: ("c\nd", 3), 3: ("", 0)}
+
+
 def test_lines_keep_all_columns_and_null_texts(frame):
     got = line_dedup.without_repeats(frame)
     assert got.columns == [*frame.columns, "_n_lines", "_n_removed"] and got.count() == frame.count()
