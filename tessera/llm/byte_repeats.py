@@ -10,9 +10,9 @@ rising order, and the search stops at the length of a window: what has no value
 common prefix of a window at least, and both its suffixes begin with a repeated window.
 
 Defined cases: a null text is the empty text; a text shorter than a window loses nothing; rows
-of one doc_id and different texts are different documents; rows that are equal in both are one
-document given twice: they do not remove one another and get the same result. Characters of
-which some bytes are removed are cut; kept bytes are returned as binary. Other columns are not
+of one doc_id and different texts are different documents; rows of one doc_id and equal texts are
+one document given twice: they do not remove one another and get the same result; rows without a
+doc_id are different documents, so equal ones remove one another. Characters of which some bytes are removed are cut; kept bytes are returned as binary. Other columns are not
 looked at.
 """
 

@@ -9,10 +9,11 @@ runs are judged on the input, not on what is left. The query and its SQL have ru
 with `least` = 1, as in the pipeline, a repeated line goes whatever its neighbours are.
 
 Defined cases: null texts stay null and have no lines; a text of fewer lines than a run loses
-nothing; documents without a doc_id come before all others; rows of one doc_id and different
-texts are different documents, in the order of the hashes of their texts; rows that are equal in
-both are one document given twice: they do not delete one another and get the same result. A
-document keeps its row even if no line is left. Other columns are handed on as they are.
+nothing; documents without a doc_id come before all others, each is a document of its own, so one
+of their equal texts stays whole at most; rows of one doc_id and different texts are different
+documents, in the order of the hashes of their texts; rows of one doc_id and equal texts are one
+document given twice: they do not delete one another and get the same result. A document keeps
+its row even if no line is left. Other columns are handed on as they are.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql import functions as F
 
-from tessera.llm.repeats import Group, covered, key_columns, keyed, repeated_windows, with_windows
+from tessera.llm.repeats import Group, covered, named, repeated_windows, texts, with_windows
 from tessera.llm.winnow import Cut, mixed
 
 RUN = 2
@@ -70,9 +71,9 @@ def later_runs(group: Group, least: int = RUN) -> tuple[np.ndarray, np.ndarray]:
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = RUN) -> DataFrame:
     """All columns of docs, with the lines left in `text`, and _n_lines and _n_removed beside."""
-    rows = keyed(docs, doc_id, text)
-    windows = repeated_windows(rows, line_cut, least, 1, partial(later_runs, least=least), line_ends, later=True)
-    whole = with_windows(docs.select(F.struct("*").alias("_row"), *key_columns(docs, doc_id, text)), windows).select("_row", "_windows")
+    rows = named(docs, doc_id, text)
+    windows = repeated_windows(texts(rows, text), line_cut, least, 1, partial(later_runs, least=least), line_ends, later=True)
+    whole = with_windows(rows, windows).select("_row", "_windows")
     schema = T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_removed", T.LongType())])
     place = docs.columns.index(text)
 

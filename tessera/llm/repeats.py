@@ -8,8 +8,9 @@
 5. An anchor with more than HOT different runs is not gathered: its windows are hashed whole
    and counted one by one, so no group grows with the corpus.
 
-Rows are named by doc_id and a hash of the text, so a retried task gives the same names. All
-counts are combined before they are shuffled; joins have no broadcast hints, and the side that
+Rows are named by doc_id and two hashes of the text, 128 bits, so a retried task gives the same
+names. Rows without a doc_id are different documents even if their texts are equal: they are
+written once with a number, which stands in the place of the second hash. All counts are combined before they are shuffled; joins have no broadcast hints, and the side that
 may hold a hot key is the one that Spark splits. What a text gives is bounded by the text.
 """
 
@@ -32,20 +33,29 @@ HOT = 1500
 AT_ONCE = 3_000_000
 #: Runs that are handed on at once when they have been fetched.
 FETCHED_ROWS = 20_000
-KEY = ["_id", "_h"]
-RUNS = "anchor long, seg long, _id long, _h int, start int, n int"
-WINDOWS = "_id long, _h int, start int, stop int"
+KEY = ["_id", "_h", "_k"]
+RUNS = "anchor long, seg long, _id long, _h long, _k long, start int, n int"
+WINDOWS = "_id long, _h long, _k long, start int, stop int"
 
 
-def key_columns(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
-    """_id and _h, which name a row by what it holds."""
-    body = F.coalesce(docs[text], F.lit(""))
-    return [F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID)).alias("_id"), F.shiftright(F.xxhash64(body), 32).cast("int").alias("_h")]
+def named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows as _row, with _id, _h and _k, which name them, beside."""
+    rows = in_small_batches(docs).select(F.struct("*").alias("_row"))
+    id_, body = F.col("_row").getField(doc_id), F.coalesce(F.col("_row").getField(text), F.lit(""))
+    with_id = rows.where(id_.isNotNull()).withColumn("_k", F.xxhash64(F.lit(1), body))
+    # Written, because a task that is run again may number its rows otherwise.
+    without = settle(rows.where(id_.isNull()).withColumn("_k", F.monotonically_increasing_id()))
+    return with_id.union(without).select("_row", F.coalesce(id_.cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(body).alias("_h"), "_k")
+
+
+def texts(rows: DataFrame, text: str) -> DataFrame:
+    """_id, _h, _k and _text of rows that have been named."""
+    return rows.select(*KEY, F.coalesce(F.col("_row").getField(text), F.lit("")).alias("_text"))
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """_id, _h and _text."""
-    return in_small_batches(docs).select(*key_columns(docs, doc_id, text), F.coalesce(docs[text], F.lit("")).alias("_text"))
+    """_id, _h, _k and _text."""
+    return texts(named(docs.select(docs[doc_id].alias("id"), docs[text].alias("text")), "id", "text"), "text")
 
 
 def _batch(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
@@ -57,16 +67,16 @@ def all_runs(rows: DataFrame, cut: Callable[[str], Cut], length: int, gram: int)
         for batch in batches:
             held: list[tuple] = []
             size = 0
-            for id_, h, text in zip(*(x.to_pylist() for x in batch.columns)):
+            for id_, h, k, text in zip(*(x.to_pylist() for x in batch.columns)):
                 begin, count, anchor, whole = cut(text).segments(length, gram)
                 if len(begin):
-                    held.append((anchor, whole, np.full(len(begin), id_, np.int64), np.full(len(begin), h, np.int32), begin.astype(np.int32), count.astype(np.int32)))
+                    held.append((anchor, whole, np.full(len(begin), id_, np.int64), np.full(len(begin), h, np.int64), np.full(len(begin), k, np.int64), begin.astype(np.int32), count.astype(np.int32)))
                     size += len(begin)
                 if size > 100_000:
-                    yield _batch(["anchor", "seg", "_id", "_h", "start", "n"], *(np.concatenate(x) for x in zip(*held)))
+                    yield _batch(["anchor", "seg", *KEY, "start", "n"], *(np.concatenate(x) for x in zip(*held)))
                     held, size = [], 0
             if held:
-                yield _batch(["anchor", "seg", "_id", "_h", "start", "n"], *(np.concatenate(x) for x in zip(*held)))
+                yield _batch(["anchor", "seg", *KEY, "start", "n"], *(np.concatenate(x) for x in zip(*held)))
 
     return rows.mapInArrow(run, RUNS)
 
@@ -74,7 +84,7 @@ def all_runs(rows: DataFrame, cut: Callable[[str], Cut], length: int, gram: int)
 def _fetch(asked: DataFrame, rows: DataFrame, cut: Callable[[str], Cut], length: int) -> DataFrame:
     """The units of the runs that are asked for; a text is read once for all of its runs."""
     lists = asked.groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "start", "n", "hot", "alone")).alias("runs"))
-    found = rows.join(lists, KEY).select("_id", "_h", "_text", "runs")
+    found = rows.join(lists, KEY).select(*KEY, "_text", "runs")
 
     def rows_of(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, field.type) for x, field in zip(zip(*out), _FETCHED)], schema=_FETCHED)
@@ -82,40 +92,40 @@ def _fetch(asked: DataFrame, rows: DataFrame, cut: Callable[[str], Cut], length:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for id_, h, text, wanted in zip(*(x.to_pylist() for x in batch.columns)):
+            for id_, h, k, text, wanted in zip(*(x.to_pylist() for x in batch.columns)):
                 units = cut(text)
                 for x in wanted:
-                    out.append((x["anchor"], id_, h, x["start"], x["n"], x["hot"], x["alone"], units.part(x["start"], x["start"] + x["n"] + length - 1)))
+                    out.append((x["anchor"], id_, h, k, x["start"], x["n"], x["hot"], x["alone"], units.part(x["start"], x["start"] + x["n"] + length - 1)))
                 if len(out) > FETCHED_ROWS:
                     yield rows_of(out)
                     out = []
             if out:
                 yield rows_of(out)
 
-    return found.mapInArrow(run, "anchor long, _id long, _h int, start int, n int, hot boolean, alone boolean, body binary")
+    return found.mapInArrow(run, "anchor long, _id long, _h long, _k long, start int, n int, hot boolean, alone boolean, body binary")
 
 
-_FETCHED = pa.schema([("anchor", pa.int64()), ("_id", pa.int64()), ("_h", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("hot", pa.bool_()), ("alone", pa.bool_()), ("body", pa.binary())])
+_FETCHED = pa.schema([("anchor", pa.int64()), ("_id", pa.int64()), ("_h", pa.int64()), ("_k", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("hot", pa.bool_()), ("alone", pa.bool_()), ("body", pa.binary())])
 
 
 class Group:
-    """Runs of some whole anchors: ids, hashes, first windows, numbers of windows, units as bytes; in order of position."""
+    """Runs of some whole anchors: names, first windows, numbers of windows, units as bytes; in order of position."""
 
     def __init__(self, table: pa.Table):
-        self.id, self.h, self.start, self.n = (table.column(x).to_numpy() for x in ("_id", "_h", "start", "n"))
+        self.id, self.h, self.k, self.start, self.n = (table.column(x).to_numpy() for x in (*KEY, "start", "n"))
         self.alone = table.column("alone").to_numpy(zero_copy_only=False)
         body = table.column("body").to_pylist()
-        order = np.lexsort((self.start, self.h, self.id))
+        order = np.lexsort((self.start, self.k, self.h, self.id))
         same = np.zeros(len(order), bool)
-        keys = np.stack([self.id[order], self.h[order], self.start[order]])
+        keys = np.stack([self.id[order], self.h[order], self.k[order], self.start[order]])
         same[1:] = (keys[:, 1:] == keys[:, :-1]).all(axis=0)
         order = order[~same]
-        self.id, self.h, self.start, self.n, self.alone = (x[order] for x in (self.id, self.h, self.start, self.n, self.alone))
+        self.id, self.h, self.k, self.start, self.n, self.alone = (x[order] for x in (self.id, self.h, self.k, self.start, self.n, self.alone))
         self.body = [body[x] for x in order]
 
 
 def _resolve(resolve: Callable[[Group], tuple[np.ndarray, np.ndarray]]):
-    """Complete anchors, some megabytes at a time, to ranges of windows (_id, _h, start, stop)."""
+    """Complete anchors, some megabytes at a time, to ranges of windows (_id, _h, _k, start, stop)."""
 
     def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = Group(pa.Table.from_batches(held))
@@ -127,7 +137,7 @@ def _resolve(resolve: Callable[[Group], tuple[np.ndarray, np.ndarray]]):
             last = np.append(first[1:], len(run)) - 1
             begin = group.start[run[first]] + offset[first]
             stop = group.start[run[last]] + offset[last] + 1
-            yield _batch(["_id", "_h", "start", "stop"], group.id[run[first]], group.h[run[first]], begin.astype(np.int32), stop.astype(np.int32))
+            yield _batch([*KEY, "start", "stop"], group.id[run[first]], group.h[run[first]], group.k[run[first]], begin.astype(np.int32), stop.astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -157,16 +167,14 @@ def _windows_alone(length: int, unit_ends: Callable[[bytes], tuple[np.ndarray, n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for id_, h, start, n, body in zip(*(batch.column(x).to_pylist() for x in ("_id", "_h", "start", "n", "body"))):
+            for id_, h, k, start, n, body in zip(*(batch.column(x).to_pylist() for x in (*KEY, "start", "n", "body"))):
                 begin, end = unit_ends(body)
-                for k in range(n):
-                    part = body[begin[k] : end[k + length - 1]]
-                    out.append((part_hash(part), part_hash(part + b"\x00"), id_, h, start + k))
+                for at in range(n):
+                    part = body[begin[at] : end[at + length - 1]]
+                    out.append((part_hash(part), part_hash(part + b"\x00"), id_, h, k, start + at))
             if out:
-                a, b, ids, hs, places = zip(*out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ids, pa.int64()), pa.array(hs, pa.int32()), pa.array(places, pa.int32())], names=["w1", "w2", "_id", "_h", "start"]
-                )
+                *longs, places = zip(*out)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in longs), pa.array(places, pa.int32())], names=["w1", "w2", *KEY, "start"])
 
     return run
 
@@ -187,33 +195,33 @@ def repeated_windows(
 ) -> DataFrame:
     """Ranges [start, stop) of windows that also occur elsewhere, or earlier if `later` is set.
 
-    `rows` has _id, _h and _text. `resolve` finds such windows among the runs of some anchors.
+    `rows` has _id, _h, _k and _text. `resolve` finds such windows among the runs of some anchors.
     """
     runs = all_runs(rows, cut, length, gram)
     # Written first, so that the join has plain shuffles on both sides and Spark can split a hot anchor.
     shared = settle(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"))
     known = settle(runs.join(shared, "anchor"))
-    place = F.struct("_id", "_h", "start")
-    # Equal rows of the input have equal places; they are one place here.
+    place = F.struct(*KEY, "start")
+    # Rows of one doc_id and equal texts have equal places; they are one place here.
     sorts = settle(known.groupBy("anchor", "seg").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("n").alias("n")))
     often = sorts.where("first <> last").select("anchor", "seg", "first")
     known_often = known.join(often, ["anchor", "seg"])
     if later:
         known_often = known_often.where(place != F.col("first"))
-    whole = known_often.selectExpr("_id", "_h", "start", "start + n AS stop")
+    whole = known_often.selectExpr(*KEY, "start", "start + n AS stop")
 
     mixed_up = sorts.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").withColumn("hot", F.col("c") > HOT).drop("c")
-    asked = sorts.join(mixed_up, "anchor").selectExpr("anchor", "first._id AS _id", "first._h AS _h", "first.start AS start", "n", "hot", "first = last AS alone")
+    asked = sorts.join(mixed_up, "anchor").selectExpr("anchor", *(f"first.{x} AS {x}" for x in KEY), "first.start AS start", "n", "hot", "first = last AS alone")
     fetched = settle(_fetch(asked, rows, cut, length), "hot")
-    calm = fetched.where("NOT hot").select("anchor", "_id", "_h", "start", "n", "alone", "body")
+    calm = fetched.where("NOT hot").select("anchor", *KEY, "start", "n", "alone", "body")
     calm = calm.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_resolve(resolve), WINDOWS)
 
-    hot = fetched.where("hot").select("_id", "_h", "start", "n", "body").mapInArrow(_windows_alone(length, unit_ends), "w1 long, w2 long, _id long, _h int, start int")
+    hot = fetched.where("hot").select(*KEY, "start", "n", "body").mapInArrow(_windows_alone(length, unit_ends), "w1 long, w2 long, _id long, _h long, _k long, start int")
     ends = settle(hot.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last"))
     again = hot.join(ends, ["w1", "w2"])
     if later:
         again = again.where(place != F.col("first"))
-    return whole.union(calm).union(again.selectExpr("_id", "_h", "start", "start + 1 AS stop"))
+    return whole.union(calm).union(again.selectExpr(*KEY, "start", "start + 1 AS stop"))
 
 
 def with_windows(rows: DataFrame, windows: DataFrame) -> DataFrame:

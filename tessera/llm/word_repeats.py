@@ -9,10 +9,11 @@ of a window with two leaves or more are repeats; their first leaf in the order o
 stays, the windows of the others are removed.
 
 Defined cases: a null or empty text has no words; a text of fewer words than a window loses
-nothing; documents without a doc_id come before all others; rows of one doc_id and different
-texts are different documents, in the order of the hashes of their texts; rows that are equal
-in both are one document given twice, do not remove one another and get the same result. Other
-columns are not looked at.
+nothing; documents without a doc_id come before all others, each is a document of its own, so one
+of their equal texts stays whole at most; rows of one doc_id and different texts are different
+documents, in the order of the hashes of their texts; rows of one doc_id and equal texts are one
+document given twice, do not remove one another and get the same result. Other columns are not
+looked at.
 """
 
 from __future__ import annotations

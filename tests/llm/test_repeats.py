@@ -130,6 +130,37 @@ def test_stage_removes_a_line_between_unique_lines(spark):
     assert got == {1: (f"a\n{passage}\nb", len(passage) + 4), 2: ("c\nd", 3), 3: ("", 0)}
 
 
+def colliding_texts():
+    """Two texts of other lines and words whose hashes agree in the upper 32 bits."""
+    seen = {}
+    for k in range(400_000):
+        text = f"{k}\nunique {k} line\n" + " ".join(f"w{k}x{j}" for j in range(30))
+        other = seen.setdefault(half_hash(text), text)
+        if other != text:
+            return other, text
+    raise AssertionError("no pair")
+
+
+@pytest.mark.parametrize("id_", [None, 5])
+def test_texts_of_one_half_hash_stay_apart(spark, id_):
+    one, two = colliding_texts()
+    docs = spark.createDataFrame([(1, one), (id_, one), (id_, two)] if id_ else [(-9, one), (id_, two), (id_, one)], "doc_id long, text string")
+    got = {(x.doc_id, x.n_lines, x.n_removed) for x in line_dedup.digests(docs).collect()}
+    assert got == ({(1, 3, 0), (5, 3, 3), (5, 3, 0)} if id_ else {(-9, 3, 3), (None, 3, 0)})
+    words = sorted((x.doc_id or 0, x.n_removed > 0) for x in word_repeats.digests(docs).collect())
+    assert words == ([(1, False), (5, False), (5, True)] if id_ else [(-9, True), (0, False), (0, False)])
+    raw = sorted((x.doc_id or 0, x.n_removed > 0) for x in byte_repeats.digests(docs).collect())
+    assert raw == ([(1, True), (5, False), (5, True)] if id_ else [(-9, True), (0, False), (0, True)])
+
+
+def test_equal_texts_without_id_are_found(spark):
+    text = "first line\n" + " ".join(f"word{k}" for k in range(60))
+    docs = spark.createDataFrame([(None, text)] * 3 + [(None, "first line"), (None, None)], "doc_id long, text string").repartition(3)
+    assert sorted(x.n_removed for x in line_dedup.digests(docs).collect()) == [0, 0, 0, 2, 2]
+    assert sorted(x.n_removed for x in word_repeats.digests(docs).collect()) == [0, 0, 0, 62, 62]
+    assert sorted(x.n_removed for x in byte_repeats.digests(docs).collect()) == [0, 0] + [len(text)] * 3
+
+
 def test_lines_keep_all_columns_and_null_texts(frame):
     got = line_dedup.without_repeats(frame)
     assert got.columns == [*frame.columns, "_n_lines", "_n_removed"] and got.count() == frame.count()
