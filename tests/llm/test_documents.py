@@ -162,6 +162,32 @@ def test_search_odd_rows(spark):
     assert search.top_k(none, none).count() == 0 and search.top_k(docs, none).count() == 0
 
 
+def brute_search(docs, text, k):
+    """Scores of the k best documents for one query, and their ids."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", folded(t))
+    counts = [collections.Counter(words(t)) for _, t in docs]
+    df = collections.Counter(x for c in counts for x in c)
+    mean, found = sum(c.total() for c in counts) / len(docs), []
+    for (i, _), c in zip(docs, counts):
+        score = sum(n * np.log(1 + (len(docs) - df[x] + 0.5) / (df[x] + 0.5)) * c[x] * 2.2 / (c[x] + 1.2 * (0.25 + 0.75 * c.total() / mean)) for x, n in collections.Counter(words(text)).items() if c[x])
+        if score > 0:
+            found.append((-round(score, 6), i))
+    return [(rank, i, -score) for rank, (score, i) in enumerate(sorted(found)[:k], 1)]
+
+
+def test_search_repeated_and_retexted_queries(spark):
+    # Few documents have a rare word of the query, and others have its frequent words, which together weigh more.
+    docs = [(k, "filler " * 12 + f"own{k}") for k in range(400)]
+    docs += [(1000 + k, "scarce " + "filler " * 60 + f"other{k}") for k in range(8)]
+    docs += [(2000 + k, " ".join(f"often{j}" for j in range(12))) for k in range(30)]
+    text = "scarce " + " ".join(f"often{j}" for j in range(12))
+    other = "scarce filler"
+    asked = [(1, text), (1, text), (1, text), (2, text), (2, other), (2, other)]
+    got = search.top_k(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(asked, "doc_id long, text string").repartition(4), k=5)
+    want = [(i, *x) for i, t in sorted(set(asked)) for x in brute_search(docs, t, 5)]
+    assert sorted(map(tuple, got.collect())) == [(i, r, d, pytest.approx(x, abs=2e-6)) for i, r, d, x in sorted(want)]
+
+
 def test_toxicity(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
     got = toxicity.score(docs, labels)
