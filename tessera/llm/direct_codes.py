@@ -14,7 +14,8 @@ lost task is simply run again:
 
 Defined cases: a null text is the empty text and has the end id alone; documents without a
 doc_id come first; documents of the same doc_id follow one another in the order of the hashes
-of their texts; equal rows are all written. Other columns are not looked at.
+of their texts, and may stand in several parts; equal rows are all written, in one part. Other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -151,7 +152,7 @@ def write_codes(docs: DataFrame, vocabulary_path: str, path: str, end_id: int =
     """Write the ids of all documents, each with end_id after it, in ascending order of doc_id."""
     content = docs.sparkSession.sparkContext.broadcast(read_fixed(vocabulary_path))
     rows = in_small_batches(docs).select(docs[doc_id].cast("long").alias("_id"), F.coalesce(docs[text], F.lit("")).alias("_text"))
-    rows = rows.repartitionByRange("_id").sortWithinPartitions("_id", F.xxhash64("_text"))
+    rows = rows.repartitionByRange(F.col("_id"), F.xxhash64("_text")).sortWithinPartitions("_id", F.xxhash64("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

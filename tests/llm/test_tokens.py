@@ -83,6 +83,20 @@ def test_codes(spark, frame, rows, monkeypatch):
     assert dict(map(tuple, direct_codes.tokens_at(spark, path, asked).collect())) == {x: int(whole[x]) for x in places}
 
 
+def test_codes_of_one_id_are_dealt_out(spark):
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/codes"
+    docs = spark.createDataFrame([(None, f"text number {k}") for k in range(300)] + [(7, f"seven {k}") for k in range(300)], "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        direct_codes.write_codes(docs, VOCABULARY, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    # Of four parts, both ids have more than one; before, all rows of an id were in the same.
+    assert spark.read.parquet(f"{path}/codes").select("part").distinct().count() > 2
+    got = direct_codes.read_codes(spark, path).orderBy("start").collect()
+    assert [x.doc_id for x in got] == [None] * 300 + [7] * 300
+
+
 def test_levels():
     for ids in ([0], [255, 256], [1 << 31, 5, 70000, 255], list(range(1000))):
         ids = np.array(ids, np.uint32)
