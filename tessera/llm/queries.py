@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, byte_repeats, decontaminate, direct_codes, line_dedup, search, simhash, token_counts, toxicity, word_repeats
+from tessera.llm import byte_bpe, byte_repeats, decontaminate, direct_codes, line_dedup, main_text, prefix_trie, search, simhash, token_counts, toxicity, whitening, word_repeats
 from tessera.llm.shared import shared_folder, table
 
 
@@ -55,6 +55,18 @@ def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return direct_codes.read_codes(spark, path).drop("ids")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_byte_repeats": op1_byte_repeats,
     "op2_line_dedup": op2_line_dedup,
@@ -66,5 +78,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_word_repeats": op9_word_repeats,
     "op10_token_codes": op10_token_codes,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_whitening": op12_whitening,
+    "op13_main_text": op13_main_text,
 }
 SQL = {"op2_line_dedup": line_dedup.SQL, "op3_search": search.SQL}
