@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, types as T
 from pyspark.sql import functions as F
 
 from tessera.llm.html_tree import HEADINGS, Page
-from tessera.llm.shared import in_small_batches
+from tessera.llm.shared import in_small_batches, settle
 
 #: Share of a host's votes that makes a path a winner, and one that beats the path it extends.
 WINS, DEEPER = 0.1, 0.25
@@ -174,7 +174,8 @@ def winning_paths(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    winners = winning_paths(pages, url, html).withColumnRenamed("host", "_host")
+    # Written first, so that Spark knows their size when it plans the join and leaves the pages where they are if it is small.
+    winners = settle(winning_paths(pages, url, html)).withColumnRenamed("host", "_host")
     rows = in_small_batches(pages).select(F.col(page_id).alias("_page"), F.col(url).alias("_url"), F.col(html).alias("_html"))
     rows = rows.join(winners, host_of("_url") == F.col("_host"), "left").select("_page", "_url", "_html", "paths")
     fields = [("page_id", pages.schema[page_id].dataType), ("url", pages.schema[url].dataType), ("text", T.StringType()), ("n_chars", T.LongType())]
