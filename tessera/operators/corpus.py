@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.scalar import rounded
-from tessera.operators import frames as R
+from tessera.operators import frames as R, ranks
 from tessera.operators.pairs import with_panel
+from tessera.session import written
 from tessera.sources import catalog as K, corpus as C
 
 CANON = tuple(sorted({f for members in K.DIMENSION_FRAMES.values() for f in members} | set(K.ACTIVE)))
@@ -255,16 +256,13 @@ def rated_signals(readiness: DataFrame, means: DataFrame) -> DataFrame:
 def average_ranks(rated: DataFrame, scope: list[str]) -> DataFrame:
     """Histogram of (value, mean) with tie-averaged ranks on both sides.
 
-    Ranks are cumulated over distinct values, not over rows, so no window ever holds
-    the corpus: it holds the values that occur."""
-    cells = rated.groupBy(*scope, "value", "expert_mean").agg(F.count("*").alias("n"))
+    Ranks are cumulated over distinct values, dealt out by range, so no task holds all
+    values of a scope."""
+    held = written(rated.groupBy(*scope, "value", "expert_mean").agg(F.count("*").alias("n")))
+    cells = held
     for column, rank in (("value", "value_rank"), ("expert_mean", "mean_rank")):
-        marginal = cells.groupBy(*scope, column).agg(F.sum("n").alias("_m"))
-        w = Window.partitionBy(*scope).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-        ranked = marginal.select(
-            *scope, column, (F.coalesce(F.sum("_m").over(w), F.lit(0)) + (F.col("_m") + 1) / 2.0).alias(rank)
-        )
-        cells = cells.join(ranked, [*scope, column])
+        marginal = held.groupBy(*scope, column).agg(F.sum("n").alias("_m"))
+        cells = cells.join(ranks.average_ranks(marginal, scope, column, "_m", rank), [*scope, column])
     return cells
 
 

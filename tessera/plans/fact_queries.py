@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import corpus as U, facts as K
+from tessera.operators import corpus as U, evidence as E, facts as K
 from tessera.plans.signals import REFERENCE_YEAR
 from tessera.session import cut_lineage
-from tessera.sources import corpus as C, facts as S
+from tessera.sources import corpus as C, facts as S, reports as R
 
 AS_OF = "2026-06-30"
 
@@ -51,10 +51,10 @@ def _resolve(s, d):
     return K.resolve_entities(subjects, _aliases(s, d), _companies(s, d))
 
 
-def _typed(s, d):
+def _typed(s, d, decomposed=None):
     """Decomposed claims with the entity that their heading is resolved to."""
     # a table of its own: routes, evidence and verdicts all read it
-    claims = cut_lineage(_decomposed(s, d))
+    claims = cut_lineage(_decomposed(s, d) if decomposed is None else decomposed)
     asked = claims.select(F.col("heading").alias("subject")).distinct()
     found = K.resolve_entities(asked, _aliases(s, d), _companies(s, d))
     # facts name companies in full, without the form of the company behind the name
@@ -76,6 +76,14 @@ def _evidence(s, d, claims=None):
     return K.match_facts(routes, S.load_facts(s, d))
 
 
+def _text_evidence(s, d):
+    """Claims about facts and parts, held against articles and notes."""
+    claims = S.fact_claims(s, d).select("claim_id", "heading", "sentence", "raw").unionByName(R.part_claims(s, d))
+    routes = K.route_claims(_typed(s, d, K.decompose(claims, REFERENCE_YEAR)))
+    asked = routes.where(F.col("provider").isin(*E.TEXT_PROVIDERS)).withColumnsRenamed({"canonical": "entity"}).withColumn("subject", F.col("heading"))
+    return E.match_texts(asked, E.text_numbers(R.evidence_texts(s, d)))
+
+
 def _judged(s, d):
     typed = _typed(s, d)
     claims = typed.select("claim_id", "doc_id", "primary_source", "heading", "sentence", "claim_type", "value", "expected")
@@ -116,6 +124,7 @@ QUERIES = {
     "resolve_entity": _resolve,
     "route_claims": lambda s, d: _routes(s, d).select("claim_id", "route_no", "provider"),
     "claim_fact_match": _evidence,
+    "claim_text_match": _text_evidence,
     "claim_consensus": lambda s, d: _judged(s, d).select("claim_id", "verdict", "confidence", "best_provider"),
     "confidence_dimensions": lambda s, d: _judged(s, d).select(
         "claim_id", "authority", "precision", "context", "corroboration"
