@@ -138,17 +138,26 @@ CTES["tiers"] = (
     "SELECT provider, f1, tp + fp + fn + tn AS claims_tested, CASE WHEN f1 IS NULL THEN 'uncalibrated' WHEN f1 >= 0.8::DOUBLE THEN 'strong' WHEN f1 >= 0.6::DOUBLE THEN 'moderate' ELSE 'weak' END AS tier FROM scores WHERE scope = 'all'",
 )
 _subject = """CASE c_custkey % 6 WHEN 0 THEN 't' || c_custkey WHEN 1 THEN c_name || CASE WHEN c_custkey % 3 = 1 THEN ' Inc' ELSE '' END WHEN 2 THEN c_name || ','
-  WHEN 3 THEN 'Nation_' || c_nationkey WHEN 4 THEN 'Bitcoin,' ELSE 'nobody known' END"""
+  WHEN 3 THEN 'Nation_' || c_nationkey WHEN 4 THEN 'Bitcoin,' ELSE CASE c_custkey % 36 WHEN 11 THEN substr(c_name, 10) WHEN 23 THEN 'The old ' || c_name || ' Corp of yore.' WHEN 35 THEN right(c_name, 3) ELSE 'nobody known' END END"""
+# every title is held against every name that is left
+CTES["tparts"] = (
+    (),
+    f"""SELECT subject, arg_min(ticker, (length(title), ticker)) AS ticker FROM (SELECT DISTINCT subject, upper(rtrim(trim(subject), '.,;:!?)')) AS up FROM (SELECT *, {_subject} AS subject FROM customer WHERE c_custkey % 6 = 5))
+    JOIN (SELECT 'T' || c_custkey AS ticker, upper(c_name || CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' Inc' ELSE ' Corp' END) AS title FROM customer) ON contains(title, up) OR contains(up, title) GROUP BY subject""",
+)
 
 SQL = {
     "load_facts": query("SELECT * FROM facttab", "facttab"),
     "read_labelled_claims": query("SELECT * FROM fclaims", "fclaims"),
     "classify_time": query("SELECT claim_id, time_period, period_type, year, quarter, reason, target_year, target_quarter FROM timed", "timed"),
     "claim_parts": query("SELECT claim_id, metric, value, unit, claim_type, is_segment FROM parts", "parts"),
-    "resolve_entity": f"""SELECT c_custkey AS subject_id, subject, CASE c_custkey % 6 WHEN 3 THEN 'country' WHEN 4 THEN 'crypto_asset' WHEN 5 THEN 'unknown' ELSE 'company' END AS entity_type,
-        CASE c_custkey % 6 WHEN 3 THEN 'NATION_' || c_nationkey WHEN 4 THEN 'bitcoin' WHEN 5 THEN subject ELSE 'T' || c_custkey END AS canonical,
-        CASE c_custkey % 6 WHEN 3 THEN 'country_alias' WHEN 4 THEN 'crypto_asset_alias' WHEN 5 THEN 'no_rule_matched' ELSE 'company_resolved' END AS reason
-        FROM (SELECT *, {_subject} AS subject FROM customer)""",
+    "resolve_entity": query(
+        f"""SELECT c_custkey AS subject_id, s.subject, CASE c_custkey % 6 WHEN 3 THEN 'country' WHEN 4 THEN 'crypto_asset' WHEN 5 THEN CASE WHEN ticker IS NULL THEN 'unknown' ELSE 'company' END ELSE 'company' END AS entity_type,
+        CASE c_custkey % 6 WHEN 3 THEN 'NATION_' || c_nationkey WHEN 4 THEN 'bitcoin' WHEN 5 THEN coalesce(ticker, s.subject) ELSE 'T' || c_custkey END AS canonical,
+        CASE c_custkey % 6 WHEN 3 THEN 'country_alias' WHEN 4 THEN 'crypto_asset_alias' WHEN 5 THEN CASE WHEN ticker IS NULL THEN 'no_rule_matched' ELSE 'company_resolved' END ELSE 'company_resolved' END AS reason
+        FROM (SELECT *, {_subject} AS subject FROM customer) s LEFT JOIN tparts p ON p.subject = s.subject AND c_custkey % 6 = 5""",
+        "tparts",
+    ),
     "route_claims": query("SELECT claim_id, route_no, provider FROM routes", "routes"),
     "claim_fact_match": query("SELECT * FROM evid", "evid"),
     "claim_consensus": query("SELECT claim_id, verdict, confidence, best_provider FROM judgedv", "judgedv"),

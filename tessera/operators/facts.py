@@ -78,13 +78,55 @@ def decompose(claims: DataFrame, this_year: int) -> DataFrame:
 SUFFIXES = (" INC", " CORP", " LTD", " LLC", " CO", " PLC", " HOLDINGS", " GROUP")
 
 
+# Common nouns that titles hold, which therefore stand for no company on their own
+COMMON_NOUNS = (
+    "semiconductor", "semiconductors", "technology", "technologies",
+    "industry", "industries", "company", "companies", "corporation",
+    "corporations", "group", "groups", "holdings", "service",
+    "services", "financial", "bank", "banks", "manufacturing",
+    "partners", "partnership", "international", "global", "national",
+    "regional", "investment", "investments", "capital", "fund",
+    "funds", "trust", "ventures", "consulting", "solutions", "systems",
+    "growth", "challenges", "outlook", "findings",
+)
+GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """All stretches of a text of this length, once each."""
+    last = F.length(text) - size + 1
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.substring(text, k, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def parts_of_titles(names: DataFrame, companies: DataFrame) -> DataFrame:
+    """names(name), in capitals → name, best (length of title, ticker): titles that hold the name or are held by it.
+
+    A name is looked up by its rarest stretch of three signs, and a title by its own: only titles
+    that share it are compared. A name with a stretch that no title has is done at once. The
+    shortest title wins, then the ticker."""
+    titles = companies.select(F.upper("ticker").alias("ticker"), F.upper("title").alias("title")).distinct()
+    asked = names.where((F.length("name") >= GRAM) & (F.contains("name", F.lit(" ")) | ~F.lower("name").isin(*COMMON_NOUNS))).select("name").distinct()
+    held = titles.select("ticker", "title", F.explode(_grams(F.col("title"), GRAM)).alias("gram"))
+    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
+    own = asked.select("name", F.explode(_grams(F.col("name"), GRAM)).alias("gram")).join(counts, "gram", "left")
+    rarest = own.groupBy("name").agg(F.min(F.struct("n", "gram")).alias("r"), F.count_if(F.col("n").isNull()).alias("missing"))
+    inside = rarest.where("missing = 0").select("name", F.col("r.gram").alias("gram")).join(held, "gram").where(F.contains("title", F.col("name")))
+    key = held.join(counts, "gram").groupBy("ticker", "title").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    short = titles.where((F.length("title") > 0) & (F.length("title") < GRAM)).select("ticker", "title", F.col("title").alias("gram"))
+    stretches = F.concat(*[_grams(F.col("name"), k) for k in range(1, GRAM + 1)])
+    around = asked.select("name", F.explode(stretches).alias("gram")).join(key.unionByName(short), "gram").where(F.contains("name", F.col("title")))
+    both = inside.select("name", "ticker", "title").unionByName(around.select("name", "ticker", "title"))
+    return both.groupBy("name").agg(F.min(F.struct(F.length("title").alias("size"), F.col("ticker"))).alias("best"))
+
+
 def resolve_entities(subjects: DataFrame, aliases: DataFrame, companies: DataFrame) -> DataFrame:
     """subjects(subject_id, subject) → + entity_type, canonical, reason.
 
     aliases(alias, entity_type, canonical); companies(ticker, title).  Every tier is an
     equi-join on a normalised name; the first tier that hits wins.  All names of a company
     (ticker, title, title without suffix) go into one list of keys with a rank, so a single
-    join answers all company tiers."""
+    join answers all company tiers.  What is left is looked up as a part of a title."""
+    aliases = aliases.groupBy("alias").agg(F.min(F.struct("entity_type", "canonical")).alias("_a")).select("alias", "_a.*")
     key = F.regexp_replace(F.btrim("subject"), r"""[.,;:!?"')]+$""", "")
     asked = subjects.select("*", F.lower(key).alias("_low"), F.upper(key).alias("_up"))
     titled = companies.select("ticker", F.upper("title").alias("title"))
@@ -107,6 +149,9 @@ def resolve_entities(subjects: DataFrame, aliases: DataFrame, companies: DataFra
         F.min(F.struct(F.col("n.tier"), F.length("title"), F.col("ticker"))).alias("_c")
     )
     out = asked.join(aliases.withColumnRenamed("alias", "_low"), "_low", "left").join(best, "_up", "left")
+    left = out.where(F.col("entity_type").isNull() & F.col("_c").isNull()).select(F.col("_up").alias("name"))
+    part = parts_of_titles(left, companies).select(F.col("name").alias("_up"), F.col("best").alias("_p"))
+    out = out.join(part, "_up", "left").withColumn("_c", F.coalesce("_c.ticker", F.when(F.col("entity_type").isNull(), F.col("_p.ticker"))))
     return out.select(
         *subjects.columns,
         F.when(F.btrim("subject") == "", "unknown")
@@ -114,7 +159,7 @@ def resolve_entities(subjects: DataFrame, aliases: DataFrame, companies: DataFra
         .when(F.col("_c").isNotNull(), "company")
         .otherwise("unknown")
         .alias("entity_type"),
-        F.coalesce("canonical", F.col("_c.ticker"), F.btrim("subject")).alias("canonical"),
+        F.coalesce("canonical", "_c", F.btrim("subject")).alias("canonical"),
         F.when(F.btrim("subject") == "", "empty_subject")
         .when(F.col("entity_type").isNotNull(), F.concat("entity_type", F.lit("_alias")))
         .when(F.col("_c").isNotNull(), "company_resolved")

@@ -45,6 +45,10 @@ def _resolve(s, d):
         .when(k % 6 == 2, F.concat(F.col("c_name"), F.lit(",")))
         .when(k % 6 == 3, F.concat(F.lit("Nation_"), F.col("c_nationkey").cast("string")))
         .when(k % 6 == 4, F.lit("Bitcoin,"))
+        # parts of titles, and titles inside of longer names
+        .when(k % 36 == 11, F.expr("substr(c_name, 10)"))
+        .when(k % 36 == 23, F.concat(F.lit("The old "), F.col("c_name"), F.lit(" Corp of yore.")))
+        .when(k % 36 == 35, F.expr("right(c_name, 3)"))
         .otherwise(F.lit("nobody known"))
     )
     subjects = customers.select(k.alias("subject_id"), subject.alias("subject"))
