@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import subjects as J
-from tessera.plans.fact_queries import _aliases
+from tessera.operators import evidence as E, facts as K, subjects as J
+from tessera.plans.fact_queries import _aliases, _companies
+from tessera.plans.signals import REFERENCE_YEAR
 from tessera.session import written
-from tessera.sources import reports as R
+from tessera.sources import corpus as C, facts as S, reports as R
 
 
 class Held:
@@ -27,6 +28,52 @@ class Held:
         return written(J.with_found_headings(J.claim_table(self.held), self.held))
 
 
+class Checked(Held):
+    """Claims of documents that have been put to facts and texts."""
+
+    def __init__(self, s, d):
+        super().__init__(s, d)
+        words, claims = self.common(), self.claims()
+        entities = J.primary_entity(self.held, words)
+        subjects = written(J.claim_subjects(claims, entities, words, self.countries))
+        rows = claims.join(subjects, ["doc_id", "claim_no"]).select(
+            F.concat_ws("-", "doc_id", "claim_no").alias("claim_id"), "doc_id", "claim_no", "heading", "sentence", "raw", "subject"
+        )
+        # customers are also known by their signs; facts name them in full
+        signs = R.customers(s, d).select(F.lower("sign").alias("alias"), F.lit("company").alias("entity_type"), F.col("entity").alias("canonical"))
+        asked = subjects.select("subject").distinct()
+        found = K.resolve_entities(asked, self.aliases.unionByName(signs), _companies(s, d))
+        full = C.read_table(s, d, "customer").select(F.concat(F.lit("T"), F.col("c_custkey").cast("string")).alias("canonical"), F.col("c_name").alias("_full"))
+        known = found.join(full, "canonical", "left").select("subject", "entity_type", F.coalesce("_full", "canonical").alias("canonical"))
+        like = J.entity_like(asked, words)
+        self.typed = written(K.decompose(rows, REFERENCE_YEAR).join(known, "subject").join(like, "subject"))
+        routes = written(K.route_claims(self.typed))
+        facts = K.match_facts(routes, S.load_facts(s, d))
+        asked = routes.where(F.col("provider").isin(*E.TEXT_PROVIDERS)).withColumnRenamed("canonical", "entity")
+        texts = E.match_texts(asked, E.text_numbers(R.evidence_texts(s, d)))
+        self.evidence = written(facts.unionByName(texts.drop("text_id")))
+        self.judged = written(K.verdicts(self.typed, self.evidence))
+
+    def searched(self):
+        """Evidence that the texts of the corpus hold for claims that are open."""
+        asked = written(E.open_claims(self.judged))
+        return E.match_texts(E.word_claims(asked), E.corpus_numbers(self.docs, asked))
+
+    def final(self):
+        """Verdicts with the second round of evidence, and with growth recomputed."""
+        both = self.evidence.unionByName(self.searched().drop("text_id"))
+        return K.check_derivations(written(K.verdicts(self.typed, both)))
+
+
+def _verdict_rows(judged):
+    return judged.select("doc_id", "claim_no", "subject", "verdict", "confidence", "best_provider")
+
+
+def verdicts_by_document(s, d):
+    """doc_id → checked, verified, contradicted, disputed, verified_providers, from the claims of the documents themselves."""
+    return K.verification_rollup(Checked(s, d).final())
+
+
 def _headings(s, d):
     held = J.document_claims(R.reports(s, d), J.country_pattern(_aliases(s, d)))
     rows = J.with_found_headings(J.claim_table(held), held)
@@ -57,4 +104,7 @@ QUERIES = {
     "primary_entity": _primary,
     "entity_like": _entity_like,
     "claim_subject": _subjects,
+    "document_verdicts": lambda s, d: _verdict_rows(Checked(s, d).judged),
+    "search_fallback": lambda s, d: Checked(s, d).searched(),
+    "document_verification": verdicts_by_document,
 }
