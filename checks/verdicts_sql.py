@@ -129,7 +129,7 @@ CTES["dwebmet"] = (_deps, _body.replace("n.entity = c.entity", "n.entity = c.ent
 CTES["devid2"] = (("devid", "dweb"), "SELECT * FROM devid UNION ALL SELECT claim_id, provider, match_type, difference, fact_value, confidence FROM dweb")
 _verdicts("djudged2", "devid2")
 _deps, _body = CTES["brk"]
-CTES["dbrk"] = (("djudged2",), _re.sub(r"\bFROM judgedv\b", "FROM djudged2", _body))
+CTES["dbrk"] = (("djudged2",), _re.sub(r"\bFROM judgedv\b", "FROM djudged2", _body).replace("AND value > 0 GROUP BY", "AND value > 0 AND heading <> '' GROUP BY"))
 CTES["dfinal"] = (("djudged2", "dbrk"), "SELECT j.* EXCLUDE (verdict), CASE WHEN b.claim_id IS NOT NULL THEN 'contradicted' ELSE verdict END AS verdict FROM djudged2 j LEFT JOIN dbrk b ON b.claim_id = j.claim_id")
 CTES["droll"] = (
     ("dfinal",),
