@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vocabulary as V
 from tessera.operators import claims as N, framing as A, text_tables as X
-from tessera.operators.located import hits_in_sentences
+from tessera.operators import located as L
 from tessera.plans.signals import REFERENCE_YEAR, with_claim_signals
 from tessera.sources import corpus as C
 
@@ -77,11 +77,19 @@ def _claim_rows(s, d):
     )
 
 
+def _missed(s, d):
+    """Review lists: hints of open perspectives, likely citations, likely hedges."""
+    docs = C.documents(s, d)
+    rows = L.missed_perspectives(docs).unionByName(L.missed_citations(docs))
+    return rows.unionByName(L.missed_hedges(N.claim_rows(_claims_base(s, d))))
+
+
 QUERIES = {
     "coverage": lambda s, d: A.coverage_rows(C.documents(s, d)),
     "coverage_summary": _coverage_summary,
     "marker_hits": lambda s, d: A.hit_rows(C.documents(s, d)),
-    "hit_to_sentence": lambda s, d: hits_in_sentences(C.documents(s, d)),
+    "hit_to_sentence": lambda s, d: L.hits_in_sentences(C.documents(s, d)),
+    "candidate_miss": _missed,
     "substantive_hits": lambda s, d: A.hit_rows(C.documents(s, d), substantive=True),
     "sourced_sentences": lambda s, d: A.flagged_sentences(X.sentences(C.documents(s, d))).drop("is_numeric"),
     "numeric_sentences": lambda s, d: A.flagged_sentences(X.sentences(C.documents(s, d))).drop("is_sourced"),
