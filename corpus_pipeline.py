@@ -29,7 +29,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _length(line_dedup.without_repeats(docs, least=1).select(*docs.columns))
+    return _length(line_dedup.without_repeats(docs, least=1, counts=False))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,15 +69,18 @@ def later_runs(group: Group, least: int = RUN) -> tuple[np.ndarray, np.ndarray]:
     return np.array(run, np.int64), np.array(offset, np.int64)
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = RUN) -> DataFrame:
-    """All columns of docs, with the lines left in `text`, and _n_lines and _n_removed beside."""
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = RUN, counts: bool = True) -> DataFrame:
+    """All columns of docs, with the lines left in `text`, and if asked for _n_lines and _n_removed beside.
+
+    Without the counts no column is added, so docs may have columns of any name."""
     rows = named(docs, doc_id, text)
     windows = repeated_windows(texts(rows, text), line_cut, least, 1, partial(later_runs, least=least), line_ends, later=True)
     whole = with_windows(rows, windows).select("_row", "_windows")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_removed", T.LongType())])
+    beside = ["_n_lines", "_n_removed"] if counts else []
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(x, T.LongType()) for x in beside]])
     place = docs.columns.index(text)
 
-    names = [*docs.columns, "_n_lines", "_n_removed"]
+    names = [*docs.columns, *beside]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +92,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 count.append(len(places))
                 removed.append(len(gone))
             columns[place] = pa.array(kept, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64()), pa.array(removed, pa.int64())], names=names)
+            numbers = [pa.array(count, pa.int64()), pa.array(removed, pa.int64())] if counts else []
+            yield pa.RecordBatch.from_arrays([*columns, *numbers], names=names)
 
     return whole.mapInArrow(run, schema)
 

@@ -16,12 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where none is named."""
+    """The folder named by spark.checkpoint.dir; one of our own only where none is named and the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the whole cluster sees")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-", dir="/tmp"))
     return context.getCheckpointDir()
 

@@ -232,3 +232,21 @@ def test_pipeline(spark):
     digest = {x.doc_id: hashlib.sha256((x.text or "").encode()).hexdigest() for x in clean.collect()}
     assert {x.doc_id: x.decoded_sha256 for x in ids.collect()} == digest
     assert corpus_pipeline.run(spark, SMALL).count() == clean.count()
+
+
+def test_pipeline_hands_on_columns_of_any_name(spark, tmp_path):
+    """Nulls, empty texts, rows given twice, and columns that have the names of the operators' own; then an empty table."""
+    texts = ["one\ntwo\nthree", "one\ntwo\nthree", "", None, "alone here\none", "x" * 100_000]
+    rows = [(k, t, f"v{k}", k, k, "w", k) for k, t in enumerate(texts)] + [(None, "one\nno id", "n", 1, 2, "w", 3), (4, texts[4], "v4", 4, 4, "w", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _n_lines string, _n_removed int, n_chars int, spans string, _row int")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "no passage of theirs")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, table in (("some", docs), ("none", docs.limit(0))):
+        for stage, run in corpus_pipeline.STAGES[:-1]:
+            table = corpus_pipeline.settle(run(spark, table, str(tmp_path)))
+            assert table.columns == docs.columns, stage
+        left = table.collect()
+        ids = corpus_pipeline.STAGES[-1][1](spark, table, str(tmp_path))
+        assert ids.count() == len(left) and (name == "some") == bool(left)
+        if left:
+            assert {x["_n_lines"] for x in left} <= {r[2] for r in rows}
