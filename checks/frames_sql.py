@@ -175,7 +175,7 @@ HEADLINE = f"""CASE WHEN voice = 'promotional' AND unsupported_numeric >= 2 THEN
   WHEN unsupported_numeric >= 3 AND sourced = 0 THEN 'numbers_unsourced'
   WHEN voice = 'descriptive' AND n_missing >= 3 THEN 'reference_gaps'
   WHEN n_missing > 0 AND coverage_count >= 3 AND n_missing <= 2 THEN 'broad_with_gaps'
-  WHEN n_missing > 0 THEN 'gaps' WHEN {_skew} THEN 'skewed_emphasis' WHEN {_fact} THEN 'all_stated_as_fact' END"""
+  WHEN n_missing > 0 THEN 'gaps' WHEN {_skew} THEN 'skewed_emphasis' WHEN {_fact} THEN 'all_stated_as_fact' WHEN contradicted > 0 THEN 'contradicted' END"""
 _voice = "CASE WHEN voice = 'promotional' THEN CASE WHEN we_pct >= 20 THEN 'voice_promotional_we' ELSE 'voice_promotional_tone' END ELSE 'voice_' || voice END"
 _sourcing = f"""CASE WHEN numeric_sentences > 0 AND unsupported_numeric = numeric_sentences AND sourced = 0 THEN
     CASE WHEN voice = 'descriptive' THEN 'numbers_as_knowledge' WHEN {_fact} THEN 'numbers_unsourced_as_fact' ELSE 'numbers_unsourced' END
@@ -191,7 +191,6 @@ _pos = """CASE WHEN n_missing = 0 AND voice = 'analytical' THEN CASE WHEN source
   WHEN voice = 'promotional' AND unsupported_numeric > 2 THEN 'reader_buys'
   WHEN voice = 'analytical' AND sourced_pct >= 70 AND n_missing <= 1 THEN 'reader_evaluates' WHEN n_missing >= 3 THEN 'narrow_coverage' END"""
 _dis = ", ".join(f"CASE WHEN NOT c_{c} AND x_{c} >= 2 THEN 'dismisses_{c}' END" for c in V.DISMISSIBLE)
-_q = {"causes": "Why is this happening?", "risks": "What could go wrong?", "stakeholders": "Who is affected?", "trends": "What is changing?", "uncertainty": "What is unknown?"}
 
 SQL = {
     "doc_signals": query(
@@ -233,14 +232,7 @@ SQL = {
     ),
     "rule_match": query("SELECT doc_id, pattern_no, pattern FROM pats", "pats"),
     "frame_patterns": query("SELECT * EXCLUDE (genre) FROM pats", "pats"),
-    "readiness": query("SELECT * FROM ready", "ready"),
     "citation_gap": query("SELECT doc_id, checked, verified, sourced_pct, citation_gap FROM vsig", "vsig"),
-    "headline_code": query(f"SELECT doc_id, {HEADLINE} AS headline FROM sig", "sig"),
-    "finding_codes": query(
-        f"""SELECT doc_id, CASE WHEN n_sentences = 0 THEN 'insufficient' ELSE
-          array_to_string(list_filter([{_voice}, {_sourcing}, {_gaps}, {_dis}, {_pos}], lambda x: x IS NOT NULL), ',') END AS findings FROM sig""",
-        "sig",
-    ),
     "next_actions": query(
         """SELECT f.doc_id, array_to_string(list_filter(['read:' || top, CASE WHEN total_claims >= 5 AND unhedged_count / total_claims >= 0.5 THEN 'ask_for_confidence' END,
           CASE WHEN total_sentences >= 5 AND sourced_pct < 10 THEN 'ask_for_sources' END, 'follow_up'], lambda x: x IS NOT NULL), ',') AS actions
@@ -248,13 +240,6 @@ SQL = {
           LEFT JOIN genrep g ON g.genre = a.genre AND g.fvs_id = a.fvs_id GROUP BY a.doc_id) t ON t.doc_id = f.doc_id""",
         "sig", "absent", "genrep",
     ),
-    "takeaways": query(
-        f"""SELECT doc_id, 'frame' AS section, n - 1 AS position, fvs_id AS item, NULL AS question FROM (
-          SELECT doc_id, fvs_id, row_number() OVER (PARTITION BY doc_id ORDER BY rule_no) AS n FROM fr) WHERE n <= 3
-        UNION ALL SELECT doc_id, 'missing', row_number() OVER (PARTITION BY doc_id ORDER BY perspective) - 1, perspective,
-          CASE perspective {" ".join(f"WHEN '{c}' THEN {lit(q)}" for c, q in _q.items())} END FROM cov WHERE NOT covered""",
-        "fr", "cov",
-    ),
     "custom_rules": query(
         f"""SELECT fvs_id, count(DISTINCT doc_id) AS n_fired FROM (SELECT doc_id, fvs_id FROM fr
           UNION ALL SELECT doc_id, 'USR-001' FROM sig JOIN (SELECT doc_id, {r("a / greatest(a + b, 1)", 4)} AS mr FROM (SELECT doc_id, {n_hits("t", V.MECHANISM)} AS a, {n_hits(mask_buzz("t"), BUZZWORD)} AS b FROM masked)) USING (doc_id)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from checks import evidence_sql as V, facts_sql as _fs, pairs_sql as P, subjects_sql as _ss  # noqa: F401  (register CTEs)
 from checks.evidence_sql import clone, plain, text_matches, text_numbers
 from checks.facts_sql import _metric
+from checks.frames_sql import HEADLINE, _dis, _gaps, _pos, _sourcing, _voice
 from checks.sql import CTES, has, lit, query, strip
 from tessera.functions import timeframe as T
 from tessera.operators import facts as K
@@ -136,8 +137,30 @@ CTES["droll"] = (
     """SELECT doc_id, count(*) FILTER (verdict NOT IN ('projection', 'unverifiable')) AS checked, count(*) FILTER (verdict IN ('verified', 'close')) AS verified, count(*) FILTER (verdict = 'contradicted') AS contradicted,
       count(*) FILTER (verdict = 'disputed') AS disputed, count(DISTINCT CASE WHEN verdict IN ('verified', 'close') THEN best_provider END) AS verified_providers FROM dfinal GROUP BY doc_id""",
 )
+# signals with the verdicts on the claims of the documents themselves
+CTES["sigv"] = (("sig", "droll"), "SELECT s.*, coalesce(d.contradicted, 0) AS contradicted, coalesce(d.disputed, 0) AS disputed FROM sig s LEFT JOIN droll d ON d.doc_id = s.doc_id")
+CTES["readyv"] = (
+    ("ready", "droll"),
+    "SELECT r.* REPLACE (CASE WHEN dimension = 'robustness' THEN CAST(coalesce(contradicted, 0) + coalesce(disputed, 0) AS DOUBLE) ELSE value END AS value) FROM ready r LEFT JOIN droll d ON d.doc_id = r.doc_id",
+)
+
 SQL = {
     "document_verdicts": query("SELECT doc_id, claim_no, subject, verdict, confidence, best_provider FROM djudged", "djudged"),
     "search_fallback": query("SELECT * FROM dweb", "dweb"),
     "document_verification": query("SELECT * FROM droll", "droll"),
+    "readiness": query("SELECT * FROM readyv", "readyv"),
+    "headline_code": query(f"SELECT doc_id, {HEADLINE} AS headline FROM sigv", "sigv"),
+    "finding_codes": query(
+        f"""SELECT doc_id, CASE WHEN n_sentences = 0 THEN 'insufficient' ELSE
+          array_to_string(list_filter([{_voice}, CASE WHEN contradicted > 0 THEN 'contradicted' END, {_sourcing}, {_gaps}, {_dis}, {_pos}], lambda x: x IS NOT NULL), ',') END AS findings FROM sigv""",
+        "sigv",
+    ),
+    "takeaways": query(
+        f"""SELECT doc_id, 'frame' AS section, n - 1 AS position, fvs_id AS item, NULL AS question FROM (
+          SELECT doc_id, fvs_id, row_number() OVER (PARTITION BY doc_id ORDER BY rule_no) AS n FROM fr) WHERE n <= 3
+        UNION ALL SELECT doc_id, 'missing', row_number() OVER (PARTITION BY doc_id ORDER BY perspective) - 1, perspective,
+          'ask_about_' || perspective FROM cov WHERE NOT covered
+        UNION ALL SELECT doc_id, 'contradicted', n, CAST(claim_no AS VARCHAR), NULL FROM (SELECT doc_id, claim_no, row_number() OVER (PARTITION BY doc_id ORDER BY claim_no) - 1 AS n FROM dfinal WHERE verdict = 'contradicted') WHERE n < 5""",
+        "fr", "cov", "dfinal",
+    ),
 }

@@ -424,6 +424,7 @@ def number_set(claims: Column) -> Column:
     )
 
 
+# A number with its sign, currency, scale and percent sign, and the scales
 MAGNITUDE = (
     r"([-−]?)\s*(?:[$€£¥₹])?\s*([-−]?)\s*(\d[\d,]*(?:\.\d+)?)([BMKTbmkt])?"
     r"(?:\s+(billion|million|thousand|trillion|bn|mn|tr))?\s*(%)?"

@@ -9,10 +9,10 @@ from tessera.functions.scalar import let
 # Mean and deviation of a score in each reference set
 RANGES = {
     "mechanism_ratio": {
-        "BASIC": (0.861, 0.194), "GAMING_V2": (0.976, 0.029), "PROTOCOL": (0.817, 0.267), "STANDARD": (0.884, 0.163),
+        "BASIC": (0.861, 0.194), "STANDARD": (0.884, 0.163), "PROTOCOL": (0.817, 0.267), "GAMING_V2": (0.976, 0.029),
     },
     "assertion_ratio": {
-        "BASIC": (0.409, 0.161), "GAMING_V2": (0.873, 0.116), "PROTOCOL": (0.397, 0.292), "STANDARD": (0.559, 0.283),
+        "BASIC": (0.409, 0.161), "STANDARD": (0.559, 0.283), "PROTOCOL": (0.397, 0.292), "GAMING_V2": (0.873, 0.116),
     },
 }
 OUTSIDE = "outside reference range"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import framing as A, frames as R
 from tessera.plans.signals import doc_signals, framed, verified_signals
+from tessera.plans.subject_queries import Checked, verdicts_by_document
 from tessera.sources import corpus as C
 
 
@@ -17,6 +18,16 @@ def _verified(s, d):
     return framed(verified_signals(C.documents_with_sources(s, d)))
 
 
+def _judged(s, d):
+    """Signals with what the claims of each document come to when they are put to facts and texts."""
+    return framed(verified_signals(C.documents_with_sources(s, d), verdicts=verdicts_by_document(s, d)))
+
+
+def _takeaways(s, d):
+    rows = R.takeaway_rows(_framed(s, d))
+    return rows.unionByName(R.contradicted_rows(Checked(s, d).final()))
+
+
 def _doc_signals(s, d):
     return doc_signals(C.documents(s, d)).select(
         "doc_id", "words", "spaced_words", "n_sentences", "coverage_count", "dominant", "voice", "sourced_pct",
@@ -105,11 +116,11 @@ QUERIES = {
     "list_caps": _absences(goal="learn", budget="minimal"),
     "rule_match": lambda s, d: R.pattern_rows(R.add_patterns(_framed(s, d))).select("doc_id", "pattern_no", "pattern"),
     "frame_patterns": lambda s, d: R.pattern_rows(R.add_patterns(_framed(s, d))),
-    "readiness": lambda s, d: R.readiness_rows(_verified(s, d)),
+    "readiness": lambda s, d: R.readiness_rows(_judged(s, d)),
     "citation_gap": lambda s, d: _verified(s, d).select("doc_id", "checked", "verified", "sourced_pct", "citation_gap"),
-    "headline_code": lambda s, d: R.add_headline(_verified(s, d)).select("doc_id", "headline"),
-    "finding_codes": lambda s, d: _joined(R.add_findings(_verified(s, d)), "findings"),
+    "headline_code": lambda s, d: R.add_headline(_judged(s, d)).select("doc_id", "headline"),
+    "finding_codes": lambda s, d: _joined(R.add_findings(_judged(s, d)), "findings"),
     "next_actions": lambda s, d: _joined(R.add_next_actions(_framed(s, d)), "actions"),
-    "takeaways": lambda s, d: R.takeaway_rows(_framed(s, d)),
+    "takeaways": _takeaways,
     "custom_rules": _custom,
 }

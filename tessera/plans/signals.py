@@ -27,17 +27,19 @@ def doc_signals(docs: DataFrame, this_year: int = REFERENCE_YEAR) -> DataFrame:
     return A.add_genre(docs)
 
 
-def verified_signals(docs: DataFrame, this_year: int = REFERENCE_YEAR) -> DataFrame:
+def verified_signals(docs: DataFrame, this_year: int = REFERENCE_YEAR, verdicts: DataFrame | None = None) -> DataFrame:
     """documents(+source_text) → signals with checked / verified numbers.
 
-    Numbers are checked against the paired source only, so nothing can be
-    contradicted or disputed here; a table of verdicts may fill those in."""
+    Numbers are checked against the paired source.  What is contradicted or disputed comes
+    from verdicts(doc_id, contradicted, disputed); without such a table it is 0."""
     docs = G.with_source_facts(docs)
     wide = doc_signals(docs, this_year)
     wide = G.add_source_fidelity(wide.withColumn("backed", G.backed_numbers()))
-    return wide.select(
-        "*", F.lit(0).cast("long").alias("contradicted"), F.lit(0).cast("long").alias("disputed")
-    )
+    none = F.lit(0).cast("long")
+    if verdicts is None:
+        return wide.select("*", none.alias("contradicted"), none.alias("disputed"))
+    wide = wide.join(verdicts.select("doc_id", "contradicted", "disputed"), "doc_id", "left")
+    return wide.select(*[F.coalesce(c, none).alias(c) if c in ("contradicted", "disputed") else F.col(c) for c in wide.columns])
 
 
 def framed(signals: DataFrame, absences: bool = True) -> DataFrame:

@@ -171,14 +171,31 @@ def test_error_windows_on_a_stream_equal_the_table(spark):
 
 def test_arriving_documents_are_profiled_once(spark):
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    schema = "doc_id long, text string, ts timestamp"
     base = C.documents(spark, SMALL).limit(6).withColumn("ts", F.to_timestamp(F.lit("2026-01-01 00:00:00")))
     again = base.withColumn("doc_id", F.col("doc_id") + 1000)
     base.unionByName(again).coalesce(1).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(base.schema).parquet(f"{folder}/in")
-    J.stream_profiles(stream, f"{folder}/out", f"{folder}/cp").awaitTermination()
-    out = spark.read.parquet(f"{folder}/out")
-    assert out.count() == 6
-    assert J.frame_counts(out).where(F.col("n") > 6).count() == 0
+
+    def run():
+        J.stream_profiles(spark.readStream.schema(schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/cp").awaitTermination()
+        J.stream_frame_counts(spark, f"{folder}/out", f"{folder}/cc").awaitTermination()
+        profiles = J.current_profiles(spark, f"{folder}/out")
+        got = {r.fvs_id: r.n for r in J.current_frame_counts(spark, f"{folder}/out").collect()}
+        assert got == {r.fvs_id: r.n for r in J.frame_counts(profiles).collect()}
+        return {r.doc_id: r for r in profiles.collect()}
+
+    first = run()
+    assert len(first) == 6
+    # One document comes again with the text of a later one: its profile is replaced, the counts follow.
+    changed = min(first)
+    other = C.documents(spark, SMALL).where(F.col("doc_id") == 23).withColumn("doc_id", F.lit(changed)).withColumn("ts", F.to_timestamp(F.lit("2026-01-01 00:01:00")))
+    other.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    second = run()
+    want = J.profile_rows(other).first()
+    assert len(second) == 6 and second[changed] == want and second[changed] != first[changed]
+    # The batch run again changes nothing.
+    J._upsert(other, 1, f"{folder}/out")
+    assert {r.doc_id: r for r in J.current_profiles(spark, f"{folder}/out").collect()} == second
 
 
 def test_every_passage_serves_as_source(spark, tmp_path):
