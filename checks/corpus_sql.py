@@ -78,19 +78,22 @@ _pat = " UNION ALL ".join(
 )
 
 
-def _rank(scope: str) -> str:
+def _rank(scope: str, rows: str = "rated") -> str:
     return f"""SELECT {scope}, value, expert_mean, rank() OVER (PARTITION BY {scope} ORDER BY value) + (count(*) OVER (PARTITION BY {scope}, value) - 1) / 2 AS value_rank,
-      rank() OVER (PARTITION BY {scope} ORDER BY expert_mean) + (count(*) OVER (PARTITION BY {scope}, expert_mean) - 1) / 2 AS mean_rank FROM (SELECT *, {PRODUCER} AS producer FROM rated)"""
+      rank() OVER (PARTITION BY {scope} ORDER BY expert_mean) + (count(*) OVER (PARTITION BY {scope}, expert_mean) - 1) / 2 AS mean_rank FROM (SELECT *, {PRODUCER} AS producer FROM {rows})"""
 
 
-def _rho(scope: str) -> str:
+def _rho(scope: str, rows: str = "rated") -> str:
     return query(
         f"""SELECT {scope}, count(*) AS n_documents, CASE WHEN count(*) >= 3 AND var_pop(value_rank) > 0 AND var_pop(mean_rank) > 0 THEN {r("corr(value_rank, mean_rank)", 6)} END AS spearman_rho
-        FROM ({_rank(scope)}) GROUP BY ALL""",
-        "rated",
+        FROM ({_rank(scope, rows)}) GROUP BY ALL""",
+        rows,
     )
 
 
+CTES["ratedgenre"] = (("rated", "genres"), "SELECT r.*, coalesce(genre, '_unclassified') AS genre FROM rated r JOIN genres g ON g.doc_id = r.doc_id")
+
+
 _prices = ", ".join(f"('{p}', '{m}', {a}::DOUBLE, {b}::DOUBLE)" for p, m, a, b in PRICES)
 
 SQL = {
@@ -135,6 +138,7 @@ SQL = {
         "rated",
     ),
     "spearman_by_dimension": _rho("dimension"),
+    "spearman_by_genre": _rho("dimension, genre", "ratedgenre"),
     "spearman_by_producer": _rho("dimension, producer"),
     "icc_by_dimension": query(
         f"""SELECT dimension, n AS n_documents, CASE WHEN n >= 2 AND w + b <> 0 THEN {r("b / (w + b)", 6)} END AS icc FROM (

@@ -22,12 +22,14 @@ def _edit(text: str, edits) -> str:
     return text
 
 
-CTES["vers0"] = ((), f"SELECT doc_id AS group_id, {_text} AS t0 FROM documents")
-CTES["vers"] = (
-    ("vers0",),
-    f"""SELECT group_id, 0 AS version_id, t0 AS text FROM vers0
-    UNION ALL SELECT group_id, 1, {_edit("t0", EDITS[0])} FROM vers0 UNION ALL SELECT group_id, 2, {_edit(_edit("t0", EDITS[0]), EDITS[1])} FROM vers0""",
-)
+CTES["vers0"] = ((), f"SELECT doc_id AS group_id, concat_ws(chr(10) || chr(10), text, {_text}) AS t0 FROM documents")
+CTES["pvers0"] = ((), f"SELECT doc_id AS group_id, {_text} AS t0 FROM documents")
+for _p in ("", "p"):
+    CTES[f"{_p}vers"] = (
+        (f"{_p}vers0",),
+        f"""SELECT group_id, 0 AS version_id, t0 AS text FROM {_p}vers0
+        UNION ALL SELECT group_id, 1, {_edit("t0", EDITS[0])} FROM {_p}vers0 UNION ALL SELECT group_id, 2, {_edit(_edit("t0", EDITS[0]), EDITS[1])} FROM {_p}vers0""",
+    )
 CTES["vtexts"] = (("vers",), "SELECT group_id * 10 + version_id AS doc_id, text FROM vers")
 number_chain("v_", "vtexts")
 sentence_chain("v_", "vtexts")
@@ -173,8 +175,8 @@ SQL = {
     "verbatim_pairs": query(
         f"""SELECT group_id, a_version_id, b_version_id, {r("s", 4)} AS similarity FROM (
           SELECT a.group_id, CAST(a.version_id AS BIGINT) AS a_version_id, CAST(b.version_id AS BIGINT) AS b_version_id, 1.0::DOUBLE - levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text)) AS s
-          FROM vers a JOIN vers b ON a.group_id = b.group_id AND a.version_id < b.version_id) WHERE s >= 0.95::DOUBLE""",
-        "vers",
+          FROM pvers a JOIN pvers b ON a.group_id = b.group_id AND a.version_id < b.version_id) WHERE s >= 0.95::DOUBLE""",
+        "pvers",
     ),
     "verbatim_copies": "SELECT sha256(text) AS content_hash, min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1",
     "heading_overlap": query(

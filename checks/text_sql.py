@@ -85,6 +85,8 @@ SQL = {
         ),
         "masked",
     ),
+    "clean_documents": query("SELECT doc_id, sha256(text) AS content_hash FROM docs WHERE NOT (contains(lower(text), '<user_document') OR contains(lower(text), '</user_document>'))", "docs"),
+    "quarantined_documents": query("SELECT doc_id, sha256(text) AS content_hash FROM docs WHERE contains(lower(text), '<user_document') OR contains(lower(text), '</user_document>')", "docs"),
     "unsafe_text_flag": query(
         "SELECT doc_id, contains(lower(text), '<user_document') OR contains(lower(text), '</user_document>') AS unsafe FROM docs",
         "docs",

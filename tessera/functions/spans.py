@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from tessera.functions import vocabulary as V
-from tessera.functions.scalar import let
 
 OPEN, CLOSE = "\ue000", "\ue001"
 SPANS = "array<struct<marker:string,start:int,end:int>>"
@@ -18,56 +17,57 @@ def normal_marker(marker: Column) -> Column:
 #: Items of a block in running sums; a list that grows is copied at each step, so none grows longer.
 BLOCK = 128
 
+# The two functions below are wanted dozens of times in one plan. Their bodies are the same each
+# time, so they are written as text, which costs the driver one call instead of a hundred.
+_NOTHING = "cast(array() AS array<int>)"
 
-def running_sums(values: Column) -> Column:
-    """The sum of all values before each one and, last, of all; in time that grows with their number."""
-    nothing = F.array().cast("array<int>")
 
-    def scan(items: Column) -> Column:
-        start = F.struct(F.lit(0).alias("sum"), nothing.alias("before"))
-        return F.aggregate(
-            items,
-            start,
-            lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.array_append(acc["before"], acc["sum"]).alias("before")),
-        )
+def _scan(items: str) -> str:
+    """The sum of some items, and the sums before each of them."""
+    return (
+        f"aggregate({items}, named_struct('sum', 0, 'before', {_NOTHING}), "
+        "(acc, x) -> named_struct('sum', acc.sum + x, 'before', array_append(acc.before, acc.sum)))"
+    )
 
-    def over_blocks(blocks: Column) -> Column:
-        def shift(offsets: Column) -> Column:
-            inner = F.transform(
-                blocks, lambda b, k: F.transform(b["before"], lambda x: x + F.element_at(offsets["before"], k + 1))
-            )
-            return F.array_append(F.flatten(inner), offsets["sum"])
 
-        return let(scan(F.transform(blocks, lambda b: b["sum"])), shift)
+def _let(name: str, value: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-    def cut(all_: Column) -> Column:
-        begins = F.when(F.size(all_) > 0, F.sequence(F.lit(0), F.size(all_) - 1, F.lit(BLOCK))).otherwise(nothing)
-        return let(F.transform(begins, lambda i: scan(F.slice(all_, i + 1, F.lit(BLOCK)))), over_blocks)
 
-    return let(values, cut)
+def _running(values: str) -> str:
+    shifted = "transform(blocks, (b, k) -> transform(b.before, y -> y + element_at(offsets.before, k + 1)))"
+    over = _let("offsets", _scan("transform(blocks, c -> c.sum)"), f"array_append(flatten({shifted}), offsets.sum)")
+    begins = f"if(size(items) > 0, sequence(0, size(items) - 1, {BLOCK}), {_NOTHING})"
+    blocks = f"transform({begins}, i -> {_scan(f'slice(items, i + 1, {BLOCK})')})"
+    return _let("items", values, _let("blocks", blocks, over))
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """array<struct<marker, start, end>> of all hits, offsets counted from 0.
+_SUMS = f"values -> {_running('values')}"
+_LENGTHS = "transform(parts, (p, j) -> length(p) - if(j = 0, 0, 1))"
+_HIT = (
+    f"(piece, n) -> named_struct('marker', substring_index(piece, '{CLOSE}', 1), 'start', element_at(starts, n + 2), "
+    f"'end', element_at(starts, n + 2) + length(substring_index(piece, '{CLOSE}', 1)))"
+)
+_MARKED = f"transform(slice(parts, 2, size(parts)), {_HIT})"
+_SPANS = f"parts -> if(size(parts) > 1, {_let('starts', _running(_LENGTHS), _MARKED)}, cast(array() AS {SPANS}))"
 
-    The hits are fenced in the text, the text is cut at the fences, and the
-    lengths of the pieces are summed up."""
-    pieces = F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"), OPEN)
 
-    def with_starts(parts: Column) -> Column:
-        lengths = F.transform(parts, lambda piece, k: F.length(piece) - F.when(k == 0, F.lit(0)).otherwise(F.lit(1)))
+def _applied(value: Column, body: str) -> Column:
+    """The body, a function written as text, of the value, which is computed once."""
+    return F.element_at(F.call_function("transform", F.array(value), F.expr(body)), 1)
 
-        def marked(starts: Column) -> Column:
-            def hit(piece: Column, k: Column) -> Column:
-                marker = F.substring_index(piece, CLOSE, 1)
-                start = F.element_at(starts, k + 2)
-                return F.struct(marker.alias("marker"), start.alias("start"), (start + F.length(marker)).alias("end"))
 
-            return F.transform(F.slice(parts, F.lit(2), F.size(parts)), hit)
+def running_sums(values: Column) -> Column:
+    """The sum of all values before each one and, last, of all; in time that grows with their number."""
+    return _applied(values, _SUMS)
 
-        return F.when(F.size(parts) > 1, let(running_sums(lengths), marked)).otherwise(F.array().cast(SPANS))
 
-    return let(pieces, with_starts)
+def spans(text: Column, pattern: str) -> Column:
+    """array<struct<marker, start, end>> of all hits, offsets counted from 0.
+
+    The hits are fenced in the text, the text is cut at the fences, and the
+    lengths of the pieces are summed up."""
+    return _applied(F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"), OPEN), _SPANS)
 
 
 def before(text: Column, start: Column, width: int) -> Column:

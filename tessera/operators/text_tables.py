@@ -133,3 +133,11 @@ def split_unsafe(docs: DataFrame) -> DataFrame:
     for tag in UNSAFE_TAGS:
         hit = hit | F.contains(low, F.lit(tag))
     return docs.select("*", hit.alias("unsafe"))
+
+
+def quarantine(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """documents → those that are fit to go on, and those that carry tags reserved for prompts; null texts are fit.
+
+    The flag is computed once, in the scan of whichever output is read."""
+    flagged = split_unsafe(docs).withColumn("unsafe", F.coalesce("unsafe", F.lit(False)))
+    return flagged.where(~F.col("unsafe")).drop("unsafe"), flagged.where("unsafe").drop("unsafe")

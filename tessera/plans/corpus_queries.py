@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import corpus as U, frames as R, pairs as P
 from tessera.plans.signals import doc_signals, framed, verified_signals
+from tessera.session import written
 from tessera.sources import corpus as C
 
 
@@ -48,6 +49,12 @@ def _spearman_by_producer(s, d):
     return U.spearman(U.average_ranks(rated, ["dimension", "producer"]), ["dimension", "producer"])
 
 
+def _spearman_by_genre(s, d):
+    genres = doc_signals(C.documents(s, d)).select("doc_id", F.coalesce("genre", F.lit(U.UNCLASSIFIED)).alias("genre"))
+    rated = written(_rated(s, d)).join(genres, "doc_id")
+    return U.spearman(U.average_ranks(rated, ["dimension", "genre"]), ["dimension", "genre"])
+
+
 def _ranks(s, d):
     return U.average_ranks(_rated(s, d), ["dimension"])
 
@@ -78,6 +85,7 @@ QUERIES = {
     "expert_mean": lambda s, d: U.expert_means(_ratings(s, d)),
     "average_ranks": _ranks,
     "spearman_by_dimension": _spearman,
+    "spearman_by_genre": _spearman_by_genre,
     "spearman_by_producer": _spearman_by_producer,
     "icc_by_dimension": lambda s, d: U.icc(_ratings(s, d)),
     "expert_agreement": lambda s, d: U.expert_agreement(

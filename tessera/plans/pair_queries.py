@@ -82,7 +82,7 @@ QUERIES = {
     "number_stability": lambda s, d: P.number_stability(C.versions(s, d)),
     "regeneration_stability": lambda s, d: P.regeneration_stability(C.versions(s, d)),
     "version_union": lambda s, d: P.version_union(C.versions(s, d)),
-    "verbatim_pairs": lambda s, d: P.verbatim_pairs(C.versions(s, d)),
+    "verbatim_pairs": lambda s, d: P.verbatim_pairs(C.versions(s, d, whole=False)),
     "verbatim_copies": lambda s, d: P.verbatim_copies(C.read_table(s, d, "documents")),
     "heading_overlap": lambda s, d: P.heading_overlap(C.documents(s, d)),
     "normalize_value": _forms("normalize_value"),

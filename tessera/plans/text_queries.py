@@ -16,5 +16,7 @@ QUERIES = {
     "section_bodies": lambda s, d: X.section_bodies(C.documents(s, d)),
     "tokens": lambda s, d: X.tokens(C.documents(s, d)),
     "year_mentions": lambda s, d: X.year_mentions(C.documents(s, d)),
+    "clean_documents": lambda s, d: X.content_hashes(X.quarantine(C.documents(s, d))[0]),
+    "quarantined_documents": lambda s, d: X.content_hashes(X.quarantine(C.documents(s, d))[1]),
     "unsafe_text_flag": lambda s, d: X.split_unsafe(C.documents(s, d)).select("doc_id", "unsafe"),
 }

@@ -83,13 +83,13 @@ def corpus_entries(spark: SparkSession, folder: str) -> DataFrame:
     ).withColumn("producer", producer_label(F.col("slug")))
 
 
-def versions(spark: SparkSession, folder: str) -> DataFrame:
-    """versions(group_id, version_id, text): every document written three times."""
-    ids = spread(read_table(spark, folder, "documents").select("doc_id"), "doc_id")
+def versions(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
+    """versions(group_id, version_id, text): every document written three times, its whole text or its passages alone."""
+    ids = spread(read_table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     each = F.array(
         *[
             F.struct(F.lit(v).cast("long").alias("version_id"), text.alias("text"))
-            for v, text in enumerate(version_texts(F.col("doc_id")))
+            for v, text in enumerate(version_texts(F.col("doc_id"), F.col("text") if whole else None))
         ]
     )
     rows = ids.select(F.col("doc_id").alias("group_id"), F.explode(each).alias("v"))

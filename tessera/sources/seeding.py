@@ -210,8 +210,9 @@ EDITS: list[list[tuple[str, str]]] = [
 VERSION_SLOTS = ("numbers", "time")
 
 
-def version_texts(doc_id: Column) -> list[Column]:
-    parts = []
+def version_texts(doc_id: Column, own: Column | None = None) -> list[Column]:
+    """The versions of a text: the document's own text, if there is one, with passages behind it, edited step by step."""
+    parts = [] if own is None else [own]
     for slot, passages in SLOTS:
         if slot in VERSION_SLOTS:
             pick = doc_id % F.lit(len(passages))
