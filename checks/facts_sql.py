@@ -21,11 +21,12 @@ CTES["facttab"] = (
     UNION ALL SELECT 'filings', c_name, 'revenue', 'quarterly', year, quarter, cents / 100.0::DOUBLE FROM rev JOIN customer ON c_custkey = custkey
     UNION ALL SELECT 'market', entity, 'revenue', 'annual', year, NULL, cents / 100.0::DOUBLE * 1.03::DOUBLE FROM ann WHERE custkey % 3 = 0
     UNION ALL SELECT 'indicators', n_name, 'gdp', 'annual', year, NULL, CAST(sum(cents) AS BIGINT) / 100.0::DOUBLE FROM ann JOIN nation ON n_nationkey = nationkey GROUP BY n_name, year
+    UNION ALL SELECT 'macro', n_name, 'gdp', 'annual', year, NULL, CAST(sum(cents) AS BIGINT) / 100.0::DOUBLE * 1.004::DOUBLE FROM ann JOIN nation ON n_nationkey = nationkey GROUP BY n_name, year
     UNION ALL SELECT 'countries', n_name, 'population', 'annual', NULL, NULL, CAST(count(*) AS DOUBLE) FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name""",
 )
 CTES["fkey"] = (
     ("facttab",),
-    "SELECT *, k % 6 AS pick, CAST('0x' || substr(sha256(entity), 1, 6) AS BIGINT) * 2 + coalesce(year, 0) % 2 AS doc_id FROM (SELECT *, CAST('0x' || substr(sha256(concat_ws('/', provider, entity, period_type, year, quarter)), 1, 6) AS BIGINT) AS k FROM facttab WHERE provider <> 'market')",
+    "SELECT *, k % 6 AS pick, CAST('0x' || substr(sha256(entity), 1, 6) AS BIGINT) * 2 + coalesce(year, 0) % 2 AS doc_id FROM (SELECT *, CAST('0x' || substr(sha256(concat_ws('/', provider, entity, period_type, year, quarter)), 1, 6) AS BIGINT) AS k FROM facttab WHERE provider NOT IN ('market', 'macro'))",
 )
 _money = "'$' || amount"
 CTES["fclaims"] = (

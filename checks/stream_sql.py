@@ -15,9 +15,16 @@ _ALL = {**framing_sql.SQL, **claims_sql.SQL, **grounding_sql.SQL}
 
 _kind = "CASE WHEN value < 10 THEN 'timeout' WHEN value < 20 THEN 'refused' ELSE 'malformed' END"
 
+_ran = ", ".join(
+    f"CASE WHEN {c} IS NOT NULL THEN '{n}' END"
+    for n, c in (
+        ("mechanism", "mechanism_ratio"), ("assertion", "assertion_ratio"), ("claims", "numeric_per_kw"), ("source", "unsourced_rate"), ("entities", "unsourced_entity_rate"), ("vocabulary", "mean_proximity"),
+        ("presentation", "type_token_ratio"), ("calibration", "calibration_score"), ("novelty", "mean_novelty"), ("quality", "quality_gap"), ("grounding", "projected_share"),
+    )
+)
 SQL = {
-    "measure_profile": "SELECT doc_id, " + ", ".join(_LAYERS.values()) + " FROM "
-    + " JOIN ".join(f"(SELECT doc_id, {columns} FROM ({_ALL[name]})) l{k}" + (" USING (doc_id)" if k else "") for k, (name, columns) in enumerate(_LAYERS.items())),
+    "measure_profile": f"SELECT *, array_to_string(list_filter([{_ran}], lambda x: x IS NOT NULL), ',') AS layers_run FROM (SELECT doc_id, " + ", ".join(_LAYERS.values()) + " FROM "
+    + " JOIN ".join(f"(SELECT doc_id, {columns} FROM ({_ALL[name]})) l{k}" + (" USING (doc_id)" if k else "") for k, (name, columns) in enumerate(_LAYERS.items())) + ")",
     "provider_error_window": f"""SELECT start AS window_start, start + INTERVAL 1 HOUR AS window_end, provider, kind, count(*) AS errors, max(ts) AS last_error FROM (
       SELECT ts, 'provider-' || (user_id % 9) AS provider, {_kind} AS kind,
         unnest(range(12)) AS k, time_bucket(INTERVAL 5 MINUTE, ts) - to_minutes(5 * unnest(range(12))) AS start FROM events WHERE event_type = 'error') GROUP BY ALL""",

@@ -59,6 +59,7 @@ def load_facts(spark: SparkSession, folder: str) -> DataFrame:
             _rows(annual.where(F.col("custkey") % 3 == 0), "market", "revenue", "annual", money * 1.03, "year")
         )
         .unionByName(_rows(national, "indicators", "gdp", "annual", money, "year"))
+        .unionByName(_rows(national, "macro", "gdp", "annual", money * 1.004, "year"))
         .unionByName(_rows(people, "countries", "population", "annual", F.col("n").cast("double")))
     )
 
@@ -71,7 +72,7 @@ def fact_claims(spark: SparkSession, folder: str) -> DataFrame:
 
     The factor a value is multiplied with says what a check should find.  What is claimed
     about one entity stands under its name in two documents, by odd and even years."""
-    facts = load_facts(spark, folder).where(F.col("provider") != "market")
+    facts = load_facts(spark, folder).where(~F.col("provider").isin("market", "macro"))
     number = F.conv(F.substring(F.sha2("entity", 256), 1, 6), 16, 10).cast("long")
     doc = (number * 2 + F.coalesce("year", F.lit(0)) % 2).alias("doc_id")
     key = F.conv(F.substring(F.sha2(F.concat_ws("/", "provider", "entity", "period_type", "year", "quarter"), 256), 1, 6), 16, 10).cast("long")
