@@ -235,6 +235,14 @@ SQL = {
         "SELECT doc_id, claim_no, sentence, heading, bullet, framing, is_prediction, hp AS high_precision, numbers FROM highclaims",
         "highclaims",
     ),
+    "short_claim_noise": query(
+        r"""SELECT d.doc_id, coalesce(n_cut_off, 0) AS n_cut_off, coalesce(n_range_ends, 0) AS n_range_ends, coalesce(n_repeats, 0) AS n_repeats FROM docs d
+        LEFT JOIN (SELECT doc_id, count(*) AS n_cut_off FROM (SELECT doc_id, sent_no FROM sentnum GROUP BY doc_id, sent_no HAVING bool_and(raw LIKE '000%')) GROUP BY doc_id) c ON c.doc_id = d.doc_id
+        LEFT JOIN (SELECT doc_id, count(*) FILTER (closes) AS n_range_ends, count(val) FILTER (NOT closes) - count(DISTINCT val) FILTER (NOT closes) AS n_repeats FROM (
+            SELECT n.*, TRY_CAST(value AS DOUBLE) AS val, regexp_matches(context, '\d\s*[-–]\s*' || regexp_escape(raw)) AS closes FROM datanums n
+            WHERE NOT EXISTS (SELECT 1 FROM sentnum x JOIN realclaims c ON c.doc_id = x.doc_id AND c.sent_no = x.sent_no WHERE x.doc_id = n.doc_id AND x.val = TRY_CAST(n.value AS DOUBLE))) GROUP BY doc_id) m ON m.doc_id = d.doc_id""",
+        "docs", "sentnum", "datanums", "realclaims",
+    ),
     "claim_stats": query("SELECT * EXCLUDE (words) FROM cstats", "cstats"),
     "claim_risk": query("SELECT doc_id, risk_density, risk_uniform, risk_precision, risk_prediction, risk_level FROM crisk", "crisk"),
     "genre": query("SELECT * FROM genres", "genres"),

@@ -312,6 +312,34 @@ def with_claims(docs: DataFrame) -> DataFrame:
     return docs.select(*keep, put.alias("claims"))
 
 
+def claim_noise(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_cut_off, n_range_ends, n_repeats): what with_claims() leaves out of a document, by its reason.
+
+    Needs `text`, `numbers`, `sentence_claims`: claim sentences whose numbers are all tails of longer
+    ones, numbers outside every claim that close a range, and those whose value came before."""
+    cut_off = lambda c: F.forall(c["numbers"], lambda n: F.startswith(n["raw"], F.lit("000")))
+    rows = docs.select(
+        "doc_id", "text", "numbers",
+        F.filter("sentence_claims", cut_off).alias("_cut"),
+        F.flatten(F.transform(F.filter("sentence_claims", lambda c: ~cut_off(c)), lambda c: F.transform(c["numbers"], lambda n: n["value"]))).alias("_covered"),
+    )
+
+    def left(values: Column) -> Column:
+        return F.filter("numbers", lambda n: ~F.coalesce(F.array_contains(values, n["value"].try_cast("double")), F.lit(False)))
+
+    rows = rows.select("doc_id", "text", "_cut", let(F.col("_covered"), left).alias("_left"))
+
+    def closes(n: Column) -> Column:
+        return F.exists(find_all(context(F.col("text"), n["start"], n["end"]), r"\d\s*[-–]\s*(?=(.*))", 1), lambda rest: F.startswith(rest, n["raw"]))
+
+    ends = F.transform("_left", lambda n: F.struct(n["value"].try_cast("double").alias("value"), closes(n).alias("closes")))
+    rows = rows.select("doc_id", F.size("_cut").cast("long").alias("n_cut_off"), ends.alias("_ends"))
+    kept = F.transform(F.filter("_ends", lambda e: ~e["closes"] & e["value"].isNotNull()), lambda e: e["value"])
+    return rows.select(
+        "doc_id", "n_cut_off", count_where(F.col("_ends"), lambda e: e["closes"]).alias("n_range_ends"), (F.size(kept) - F.size(F.array_distinct(kept))).cast("long").alias("n_repeats")
+    )
+
+
 NUMBER_TYPES = ("percentage", "dollar", "multiplier", "decimal", "integer")
 
 

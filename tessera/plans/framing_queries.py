@@ -119,6 +119,7 @@ QUERIES = {
     "numeric_claim_sentences": lambda s, d: N.numeric_claim_sentences(C.documents(s, d)),
     "causal_sentences": lambda s, d: N.causal_sentences(C.documents(s, d)),
     "claim_rows": _claim_rows,
+    "short_claim_noise": lambda s, d: N.claim_noise(N.with_sentence_claims(N.with_numbers(_sents(s, d)))),
     "claim_stats": _signal(_claims_base, N.add_claim_stats),
     "claim_risk": _signal(lambda s, d: N.add_claim_stats(_claims_base(s, d)), N.add_claim_risk),
 }
