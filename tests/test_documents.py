@@ -161,3 +161,12 @@ def test_plain_sentences_keep_abbreviations(spark):
         T.plain_sentences(F.col("text")).alias("p")
     ).first()
     assert row.p == ["Dr. Malo met the U.S. Team in the port.", "Then they left for the second port."]
+
+
+def test_leading_zeros_are_looked_up_without_them(spark):
+    rows = spark.createDataFrame(
+        [(1, "The code is 0085 on all of them.", "It lists 85 items."), (2, "The code is 0085 on all of them.", "It lists 850 and 985 items.")],
+        "doc_id long, text string, source_text string",
+    )
+    found = {r.doc_id: (r.value, r.in_source) for r in G.number_rows(rows).collect()}
+    assert found == {1: ("0085", True), 2: ("0085", False)}
