@@ -198,6 +198,19 @@ def test_arriving_documents_are_profiled_once(spark):
     assert {r.doc_id: r for r in J.current_profiles(spark, f"{folder}/out").collect()} == second
 
 
+def test_copies_of_one_text_are_profiled_each(spark, tmp_path):
+    import math
+
+    from tessera.plans.registry import QUERIES
+    from tessera.sources.seeding import SLOTS
+
+    # The passages behind a text come again after so many documents; three waves.
+    turn = 3 * math.lcm(*[len(passages) for _, passages in SLOTS])
+    rows = [(1, "A text that stands there twice."), (1 + turn, "A text that stands there twice.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id for r in QUERIES["stream_profiles"](spark, str(tmp_path)).select("doc_id").collect()} == {1, 1 + turn}
+
+
 def test_every_passage_serves_as_source(spark, tmp_path):
     for name, rows in (("documents", 400), ("benchmark", 200)):
         ids = spark.range(rows)
