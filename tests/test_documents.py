@@ -170,3 +170,33 @@ def test_leading_zeros_are_looked_up_without_them(spark):
     )
     found = {r.doc_id: (r.value, r.in_source) for r in G.number_rows(rows).collect()}
     assert found == {1: ("0085", True), 2: ("0085", False)}
+
+
+def test_numbers_are_the_same_when_stretches_without_them_are_left_out(spark):
+    texts = [
+        "Of all that is told here, $5 - $6 million is known; 5 thousand 12 x 3x and 7.5x, then 12 M or 1,234,567 words.",
+        "Ab 85% cd ef 85 \n\n% gh 1.2.3 ij $ 40 kl $40 mn.60 op£70–80 billion qr stu12 vw 34K xy 56\tthousands z",
+        "é 12 ü 13 ö no digits at all for a long while, and then some: 1 million. 2 trillion!", "99", "no number", "", None,
+        "a b 17 " * 300, "word 12 words " + "lorem ipsum dolor " * 50 + "$1,200-$1,300 thousand and 5 5 5 million",
+    ]
+    df = docs(spark, *texts).select("doc_id", F.col("text"), N.typed_numbers(F.col("text")).alias("cut"), F.coalesce(N._typed_in(F.col("text")), F.array()).alias("whole"))
+    for r in df.collect():
+        assert [tuple(n) for n in r.cut or []] == [tuple(n) for n in r.whole or []], r.text
+        assert all(r.text[n.start : n.end] == n.raw for n in r.cut or [])
+
+
+def test_patterns_by_first_letter_match_the_same():
+    import re
+
+    from tessera.functions.patterns import by_first_letter
+
+    assert by_first_letter(r"(?i)\b(?:risks?|threats?|rise)\b") == r"(?i)(?=[rt])\b(?:r(?:isks?|ise)|t(?:hreats?))\b"
+    assert by_first_letter(r"(?i)\bmust\b|\b(?:may|in)\s+be\b") == r"(?i)(?=[im])\b(?:m(?:ust\b|ay\s+be\b)|i(?:n\s+be\b))"
+    # an optional first letter, a group that counts, a class, an edge that only one alternative has
+    for kept in (r"(?i)\b(?:a?b|c)\b", r"(?i)\b(?:a(b)|c)", r"(?i)\b(?:[ab]c|d)", r"(?i)\bab|cd", r"(?i)\b(?:ab|cd)?ef", "ab|cd"):
+        assert by_first_letter(kept) == kept
+    text = "The RISKS grew because sales must rise; it was due to them that we may, in the U.S., never depend on \u00e9t\u00e9risk or risk_x. " * 2
+    for value in vars(V).values():
+        for pattern in value.values() if isinstance(value, dict) else [value]:
+            if isinstance(pattern, str) and by_first_letter(pattern) != pattern:
+                assert [m.span() for m in re.finditer(by_first_letter(pattern), text)] == [m.span() for m in re.finditer(pattern, text)]
