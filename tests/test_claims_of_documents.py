@@ -208,3 +208,22 @@ def test_a_producer_that_stands_apart_everywhere(spark):
     got = {tuple(r) for r in U.cross_group_findings(outliers).collect()}
     # birch stands apart in one of two groups, dogwood in one alone; cedar's documents fired nothing.
     assert got == {("alder", "coverage", 2, 2, "FVS-010", 2), ("alder", "coverage", 2, 2, "FVS-007", 1), ("cedar", "evidence", 2, 2, None, 0)}
+
+
+def test_what_grows_with_companies_is_not_held_by_the_driver(spark):
+    claims = spark.createDataFrame(
+        [("c", "filings", "Acme", "revenue", 10.0, 2020, None, "annual")],
+        "claim_id string, provider string, canonical string, metric string, value double, target_year long, target_quarter long, period_type string",
+    )
+    facts = spark.createDataFrame(
+        [("filings", "Acme", "revenue", "annual", 2020, None, 10.0)],
+        "provider string, entity string, metric string, period_type string, year long, quarter long, value double",
+    )
+    found = K.match_facts(claims, facts)
+    names = spark.createDataFrame([("ACME WORKS",)], "name string")
+    titles = spark.createDataFrame([("A", "Acme Works Inc"), ("B", "Other")], "ticker string, title string")
+    parts = K.parts_of_titles(names, titles)
+    for df in (found, parts):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [r.match_type for r in found.collect()] == ["exact"]
+    assert [r.best.ticker for r in parts.collect()] == ["A"]
