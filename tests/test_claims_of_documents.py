@@ -127,6 +127,18 @@ def test_claims_against_texts(spark):
     }
 
 
+def test_copies_of_a_claim_are_looked_up_once(spark):
+    """A claim of many documents is one class, and each of them takes the best text that is not its own."""
+    texts = [(str(k), "web", w, f"Of all crews the port sold {n} units to Oslo and Bergen.") for k, n in ((0, 7250), (1, 7300), (2, 7400)) for w in ("oslo", "bergen")]
+    numbers = E.text_numbers(spark.createDataFrame(texts, "text_id string, kind string, entity string, text string"))
+    asked = [(f"{k}-0", k, "Oslo Bergen", "The port sold 7,250 units.", "7,250", 7250.0, "", "count", "") for k in range(40)]
+    asked.append(("50-0", 50, "Oslo Bergen", "The port sold 7,390 units.", "7,390", 7390.0, "", "count", ""))
+    claims = E.word_claims(spark.createDataFrame(asked, "claim_id string, doc_id long, subject string, sentence string, raw string, value double, metric string, unit string, time_period string"))
+    assert E.claim_classes(claims).select("class_id").distinct().count() == 2
+    got = {r.claim_id: (r.text_id, r.fact_value) for r in E.match_texts(claims, numbers).collect()}
+    assert got == {f"{k}-0": ("0", 7250.0) if k else ("1", 7300.0) for k in range(40)} | {"50-0": ("2", 7400.0)}
+
+
 def test_open_claims_are_the_first_of_a_document(spark):
     rows = [(d, n, "unverifiable" if n % 2 else "verified", n != 3, 1.0) for d in (1, 2) for n in range(20)]
     got = E.open_claims(spark.createDataFrame(rows, "doc_id long, claim_no long, verdict string, entity_like boolean, value double")).collect()
