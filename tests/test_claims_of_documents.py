@@ -139,6 +139,13 @@ def test_copies_of_a_claim_are_looked_up_once(spark):
     assert got == {f"{k}-0": ("0", 7250.0) if k else ("1", 7300.0) for k in range(40)} | {"50-0": ("2", 7400.0)}
 
 
+def test_copies_of_a_claim_are_taken_apart_alike(spark):
+    rows = [(f"{k}", "Sales of 2021" if k % 2 else None, "In Q2 2023 the firm reported revenue of $12 million.", "$12 million") for k in range(30)] + [("last", "", "It weighs 5 kg.", "5")]
+    claims = spark.createDataFrame(rows, "claim_id string, heading string, sentence string, raw string")
+    got, want = K.decompose_copies(claims, 2026), K.decompose(claims, 2026)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 31
+
+
 def test_open_claims_are_the_first_of_a_document(spark):
     rows = [(d, n, "unverifiable" if n % 2 else "verified", n != 3, 1.0) for d in (1, 2) for n in range(20)]
     got = E.open_claims(spark.createDataFrame(rows, "doc_id long, claim_no long, verdict string, entity_like boolean, value double")).collect()
