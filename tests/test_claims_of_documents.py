@@ -246,3 +246,10 @@ def test_what_grows_with_companies_is_not_held_by_the_driver(spark):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert [r.match_type for r in found.collect()] == ["exact"]
     assert [r.best.ticker for r in parts.collect()] == ["A"]
+
+
+def test_claims_about_facts_are_dealt_out_before_they_are_taken_apart(spark):
+    from tessera.plans import fact_queries as Q
+
+    counts = [r["count"] for r in Q._decomposed(spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(counts) < 0.3 * sum(counts)
