@@ -248,6 +248,21 @@ def test_what_grows_with_companies_is_not_held_by_the_driver(spark):
     assert [r.best.ticker for r in parts.collect()] == ["A"]
 
 
+def test_a_text_is_searched_once_for_the_number_of_a_claim(spark):
+    rows = spark.createDataFrame([("At 12 they met, 12 men of Rome", "12"), ("12 men", "12"), ("none", "12"), ("a 5", "")], "text string, raw string")
+    back = J.stretch_before(F.col("text"), F.col("raw")).alias("back")
+    assert [r[0] for r in rows.select(back).collect()] == ["At ", "", "", ""]
+    plan = rows.select(back)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("instr(") == 1
+
+
+def test_common_words_are_counted_without_sorting_texts(spark):
+    docs = spark.createDataFrame([("Rome met rome. Ports HQ ports x9y port1 aB a B Ab ab",), ("Rome, Zoë Rome",), (None,)], "text string")
+    words = J.common_words(docs)
+    assert {r["word"] for r in words.collect()} == {"met", "ports", "ab"}
+    assert "sort" not in words._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_claims_about_facts_are_dealt_out_before_they_are_taken_apart(spark):
     from tessera.plans import fact_queries as Q
 
