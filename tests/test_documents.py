@@ -1,5 +1,6 @@
 """Hand-checked documents, one extreme each."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import spans as S, text as T, vocabulary as V
@@ -200,3 +201,28 @@ def test_patterns_by_first_letter_match_the_same():
         for pattern in value.values() if isinstance(value, dict) else [value]:
             if isinstance(pattern, str) and by_first_letter(pattern) != pattern:
                 assert [m.span() for m in re.finditer(by_first_letter(pattern), text)] == [m.span() for m in re.finditer(pattern, text)]
+
+
+def test_marked_clauses_hold_every_marker_of_a_text(spark):
+    """One pass for many patterns: the same counts and places as each pattern has in the whole text."""
+    from tessera.functions import spans as S
+    from tessera.functions.patterns import any_of
+    from tessera.functions.scalar import count_matches
+
+    groups = [V.PERSPECTIVES, V.ROLES, {"m": V.MECHANISM, "b": V.BUZZWORD}, {"p": V.PROJECTION, "r": V.RETROSPECTIVE}, {"a": V.ALTERNATIVES, "d": V.ADVOCACY, "n": V.NARRATIVE}]
+    texts = [
+        "RISKS, risk.\nrisk! No; due\n\nto the plan: due. to roughly 40, roughly, 40 roughly.",
+        ",riské x_risk risks-risk .risḱ the\tpublic; the. public Critics:patrons users funds",
+        "é. risk \U0001f600 because, game.changer, game changer, in 2019, by 2030. last year\r\nyears ago",
+        "When ships were few; either a or b, critical! Must? must", "", " ", ". , ;", "none of it.", None,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for group in groups:
+        assert any_of(tuple(group.values()))
+        text, marked, clauses = F.col("text"), F.col("marked"), F.col("clauses")
+        wide = docs.select("text", S.marked_text(text, group.values()).alias("marked"), S.marked_clauses(text, group.values()).alias("clauses"))
+        each = [F.struct(count_matches(text, p).eqNullSafe(count_matches(marked, p)), S.spans(text, p).eqNullSafe(S.spans_in(clauses, p))) for p in group.values()]
+        for row in wide.select("text", F.array(*each).alias("same")).collect():
+            assert all(all(pair) for pair in row.same), row
+    with pytest.raises(ValueError):
+        S.marked_text(F.col("text"), [V.INSTRUCTION])
