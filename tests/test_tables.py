@@ -251,3 +251,15 @@ def test_hits_stand_in_their_sentences(spark):
     assert [at["risks", k] for k in risks] == [None, 0, None, 2]
     assert at["because", text.index("because")] == 1
     assert {r.doc_id for r in rows} == {1}
+
+
+def test_sentences_of_hits_are_found_in_the_row(spark):
+    from tessera.operators.located import hits_in_sentences
+
+    # Lists, wrapped lines, hits in a row, one at the very start and one behind the last sentence.
+    text = "risks\n- The risks of a list stand in a sentence of their own.\n  1. Numbered risks and risks stand in another one of them.\nrisks run on\nover the risks of the next line here. risks"
+    docs = spark.createDataFrame([(1, text), (2, "Nothing.")], "doc_id long, text string")
+    found = hits_in_sentences(docs)
+    assert [r.sent_no for r in found.where("marker = 'risks'").orderBy("start").collect()] == [None, 0, 1, 1, 2, 2, 2]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
