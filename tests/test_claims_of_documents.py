@@ -288,3 +288,30 @@ def test_all_open_claims_of_a_document_are_searched_for(spark):
     finally:
         Q.Checked = held
     assert [(r.doc_id, r.checked, r.verified) for r in got] == [(1, 9, 9)]
+
+
+def test_nearest_numbers_are_searched_first(spark, monkeypatch):
+    """The search by rounds finds what meeting all near numbers finds, and meets far fewer."""
+    random.seed(11)
+    names = ["Oslo", "Bergen", "Troms", "Narvik"]
+    figure = lambda: random.choice((7250, 25, random.randrange(5000, 9000), round(random.uniform(0.3, 0.6), 3)))
+    said = lambda w, n: f"The port of {w} sold {n} units in {random.choice((2019, 2020, 2021))}."
+    docs = [(k, "\n".join(said(names[k % 40 % 4 if k % 10 == 0 else 0], figure()) + " x" * 60 for _ in range(3)) + " 80% of it." * (k % 3)) for k in range(200)]
+    documents = spark.createDataFrame([*docs, docs[5], (1000, None)], "doc_id long, text string")
+    rows = []
+    for k in range(150):
+        value = float(random.choice((figure(), figure(), 80, 2020, 0, -3)))
+        subject = " ".join(random.sample(names, random.randrange(1, 3))) if k % 7 else random.choice(("", "Nowhere"))
+        sentence = said(names[k % 4], value) if k % 5 else "Of all gains it was so."
+        rows.append((f"{k}-0", k, subject, sentence, f"{value}", value, "", "percent" if value == 80 else "count", "2020" if k % 2 else None))
+    asked = spark.createDataFrame(rows, "claim_id string, doc_id long, subject string, sentence string, raw string, value double, metric string, unit string, time_period string")
+    claims = E.written(E.word_claims(asked))
+    numbers, held = E.written(E.corpus_numbers(documents, asked)), E.written(E.corpus_words(documents, asked))
+    every = numbers.join(held, "text_id")
+    want = sorted(map(str, E.match_texts(claims, every.drop("step")).collect()))
+    all_near = E._with_steps(E._sought(E.claim_classes(claims)).withColumn("entity", F.explode("entities"))).join(every, ["entity", "step"]).count()
+    met, write = [], E.written
+    monkeypatch.setattr(E, "written", lambda df: (write(df), met.append(df.count()) if "beyond" in df.columns else None)[0])
+    got = E.search_texts(claims, numbers, held, rounds=((1 / 16, 2), (1.0, None)))
+    assert sorted(map(str, got.collect())) == want and len(want) > 30
+    assert len(met) == 2 and sum(met) < all_near / 2
