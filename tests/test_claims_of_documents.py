@@ -315,3 +315,19 @@ def test_nearest_numbers_are_searched_first(spark, monkeypatch):
     got = E.search_texts(claims, numbers, held, rounds=((1 / 16, 2), (1.0, None)))
     assert sorted(map(str, got.collect())) == want and len(want) > 30
     assert len(met) == 2 and sum(met) < all_near / 2
+
+
+def test_edit_distance_of_long_texts(spark):
+    from tessera.functions.scalar import edit_distance
+
+    random.seed(5)
+    pairs = [("", ""), ("", "a"), ("a", ""), ("aa", "a"), ("abab", "ab"), ("éaé", "éé"), (None, "a"), ("kitten", "sitting")]
+    pairs += [tuple("".join(random.choices("abé", k=random.randrange(12))) for _ in range(2)) for _ in range(200)]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    want = F.call_function("levenshtein", F.col("a"), F.col("b"), F.lit(4))
+    assert [r for r in rows.select("a", "b", edit_distance(F.col("a"), F.col("b"), F.lit(4)).alias("got"), want.alias("want")).collect() if r.got != r.want] == []
+    text = "".join(random.choices("abcde ", k=40_000))
+    long = spark.createDataFrame([(text, text[:20_000] + "xx" + text[20_001:])] * 4, "a string, b string").repartition(1)
+    start = time.time()
+    assert [r[0] for r in long.select(edit_distance(F.col("a"), F.col("b"), F.lit(2_000))).collect()] == [2] * 4
+    assert time.time() - start < 20
